@@ -1,0 +1,233 @@
+"""The registered queries against brute force, on a fixture of awkward
+rows and on the smallest table."""
+
+import math
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from corpusloom.llm import decontam, mixing, pii, rules, sharding, simhash
+from corpusloom.llm.queries import QUERIES
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+PASSAGE = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+AWKWARD = [
+    (1, "", "a"),
+    (2, None, None),
+    (None, "no id here", "a"),
+    (4, "  \n\t ", "b"),
+    (5, LONG, "b"),
+    (6, "same text", "c"),
+    (6, "same text", "c"),
+    (7, "same text", None),
+    (8, "ÉCOLE " + PASSAGE.upper() + " fifteen", "c"),
+    (9, "one two three four five six seven eight nine ten eleven twelve", "d"),
+    (10, "short Item!", "d"),
+    (11, "a b c a b c a b c\nline\nline\n\nline", "é"),
+    (12, "x@y.zz_q@a.b-c.d. 1.2.3.4.5.6.7.8 999.1.1.1 4539 1488 0343 6467 +1 (212) 555-0100 0" + "4" * 3000, "z"),
+    (13, "IBAN GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, ssn 123-45-6789 or 123-45-6789", "z"),
+    (14, "😀 mail a.b@c.de then +123456789012345678 and 255.255.255.255", "z"),
+    (15, PASSAGE + " " + PASSAGE, "z"),
+]
+ITEMS = [(1, PASSAGE), (2, "Short item"), (3, None), (None, "short, ITEM"), (4, "!!!"), (5, PASSAGE + " more words after")]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rows = [(*r, i, "clash", 1.0) for i, r in enumerate(AWKWARD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n int, size string, shard double").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame(ITEMS, "item_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def empty(spark, docs):
+    return spark.createDataFrame([], docs.schema)
+
+
+def test_mix(spark, awkward, docs, empty):
+    for table in (awkward, docs):
+        got = mixing.plan_mix(table).select("doc.*", F.col("size").alias("_s"), "source_size", "target", "copies") if table is not awkward else mixing.plan_mix(table).select("doc.doc_id", "doc.text", "doc.source", F.col("size").alias("_s"), "source_size", "target", "copies")
+        rows = got.collect()
+        assert len(rows) == table.count()
+        sizes, taken = defaultdict(int), defaultdict(int)
+        for r in rows:
+            assert r["_s"] == len(brute.SPACE_WORDS.findall(r["text"] or ""))
+            sizes[r["source"]] += r["_s"]
+            taken[r["source"]] += r["_s"] * r["copies"]
+            assert 0 <= r["copies"] <= 2
+        want = brute.mix_targets(sizes)
+        for r in rows:
+            assert r["source_size"] == sizes[r["source"]]
+            assert math.isclose(r["target"], want[r["source"]], rel_tol=1e-9)
+            if r["source_size"]:
+                rate = r["target"] / r["source_size"]
+                assert math.floor(rate) <= r["copies"] <= math.ceil(rate)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows))
+        assert mixing.mix(table).count() == sum(r["copies"] for r in rows)
+        assert mixing.mix(table).columns == table.columns
+    assert mixing.plan_mix(empty).count() == 0
+
+
+def test_mix_beyond_broadcast(docs, monkeypatch):
+    small = sorted(map(str, mixing.plan_mix(docs).select("doc.doc_id", "copies").collect()))
+    monkeypatch.setattr("corpusloom.plans.joins.within", lambda *a: False)
+    assert sorted(map(str, mixing.plan_mix(docs).select("doc.doc_id", "copies").collect())) == small
+
+
+@pytest.mark.parametrize("shards", [1, 7, 40])
+def test_shards(spark, awkward, docs, empty, shards):
+    for table in (awkward, docs):
+        rows = sharding.shard_rows(table, shards).select("doc.doc_id", "doc.text", "size", "text_crc32", "shard", "slot").collect()
+        assert len(rows) == table.count()
+        by = defaultdict(list)
+        for r in rows:
+            text = (r["text"] or "").encode()
+            assert r["size"] == len(text) + 16 and r["text_crc32"] == zlib.crc32(text)
+            by[r["shard"]].append(r)
+        assert all(0 <= s < shards for s in by)
+        for own in by.values():
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        if table is docs:
+            mean, largest = sum(r["size"] for r in rows) / shards, max(r["size"] for r in rows)
+            for s in range(shards):
+                assert abs(sum(r["size"] for r in by[s]) - mean) <= largest + 0.005 * mean
+    assert sharding.shard_rows(empty, shards).count() == 0
+
+
+def test_shards_split_a_hot_text(spark):
+    rows = spark.createDataFrame([(i, "hot " * 20 if i % 3 == 0 else f"text {i} " * 10) for i in range(6000)], "doc_id long, text string")
+    got = sharding.shard_rows(rows, 10).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    sizes = [r["b"] for r in got]
+    assert len(sizes) == 10 and max(sizes) - min(sizes) < 0.02 * max(sizes)
+
+
+def check_contamination(table, items):
+    want_items = [tuple(r) for r in items.select("item_id", "text").collect()]
+    texts = {}
+    for r in table.collect():
+        texts.setdefault((r["doc_id"], r["text"]), []).append(brute.contamination(r["text"], want_items))
+    want = sorted((str(k[0]), *map(str, v)) for k, vs in texts.items() for v in vs)
+    got = sorted(tuple(map(str, r)) for r in decontam.judge(table, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+    assert got == want
+    clean = decontam.decontaminate(table, items)
+    assert clean.columns == table.columns
+    assert clean.count() == sum(w[-1] == "False" for w in want)
+
+
+def test_contamination(spark, awkward, items, docs, empty):
+    check_contamination(awkward, items)
+    check_contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert decontam.judge(empty, items).count() == 0
+    assert decontam.judge(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_contamination_in_blocks(awkward, items, monkeypatch):
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (3,))
+    check_contamination(awkward, items)
+
+
+def test_rules(awkward, docs, empty):
+    for table in (awkward, docs):
+        got = rules.ledger(table.select("doc_id", "text")).select("doc.text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", ~rules.verdict(F.col("failed"), "base-1")).collect()
+        for r in got:
+            assert tuple(r)[1:] == brute.rules(r["text"]), r["text"]
+    assert rules.ledger(empty).count() == 0
+
+
+def test_ablation(docs):
+    book = rules.ledger(docs)
+    bits = [r["failed"] for r in book.collect()]
+    for r in rules.ablation(book).collect():
+        bit, m = rules.mask(r["rule"]), rules.mask(*rules.POLICIES[r["policy"]])
+        assert (r["n_docs"], r["n_failed"], r["n_only"]) == (len(bits), sum(b & bit > 0 for b in bits), sum(b & m == bit for b in bits))
+
+
+def test_fingerprints_and_components(awkward, docs, empty):
+    for table in (awkward, docs):
+        got = [(r["doc_id"], r["fp"] % (1 << 64), r["component_id"], r["text"]) for r in simhash.clusters(table).join(table.select("doc_id", "text").distinct(), "doc_id", "left").collect() if r["doc_id"] is not None]
+        assert all(fp == brute.fingerprint(t) for _, fp, _, t in got)
+        roots = brute.components([(d, brute.fingerprint(t)) for d, t in table.select("doc_id", "text").collect()])
+        want = sorted(map(str, roots))
+        assert sorted(str(r["component_id"]) for r in simhash.clusters(table).collect()) == want
+    assert simhash.clusters(empty).count() == 0
+    kept = simhash.keep_one(awkward)
+    assert kept.columns == awkward.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(6) == 1 and 7 not in ids and ids.count(None) == 1 and not {2, 4} & set(ids)
+
+
+def test_trie_against_all_pairs():
+    import numpy as np
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    keys = set(base)
+    for b in base:
+        for _ in range(25):
+            keys.add(b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) % (1 << 64))
+    keys = sorted(k % (1 << 64) for k in keys)
+    label = simhash.trie_links(np.array(keys, np.uint64), 0)
+    want = brute.components(list(enumerate(keys)))
+    assert label.tolist() == want
+
+
+def test_components_over_rotated_tries(spark, monkeypatch):
+    rng = random.Random(5)
+    hot = rng.getrandbits(64)
+    keys = {hot} | {(hot >> 48 << 48) | rng.getrandbits(48) for _ in range(300)} | {hot ^ (1 << i) ^ (1 << j) for i in range(30) for j in range(30)}
+    keys = sorted(keys)
+    monkeypatch.setattr(simhash, "HOT", 50)
+    fps = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "fp long")
+    edges = simhash.links(fps)
+    roots = {r["fp"]: r["root"] for r in simhash.components(edges).collect()}
+    want = brute.components(list(enumerate(keys)))
+    signed = [k - (1 << 64) if k >> 63 else k for k in keys]
+    groups, back = defaultdict(set), defaultdict(set)
+    for i, s in enumerate(signed):
+        groups[want[i]].add(s)
+        back[roots.get(s, s)].add(s)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, back.values()))
+
+
+def test_personal_data(awkward, docs, empty):
+    for table in (awkward, docs):
+        got = pii.spans(table).select("doc.text", *[F.size(k.name) for k in pii.BASE], F.sha2(pii.listed(pii.BASE), 256), pii.listed(pii.BASE + pii.ADDED)).collect()
+        for r in got:
+            assert tuple(r)[1:6] == brute.pii(r["text"]), r["text"]
+    assert pii.spans(empty).count() == 0
+    added = {r["doc_id"]: r["s"] for r in pii.spans(awkward).select("doc.doc_id", pii.listed(pii.ADDED).alias("s")).collect()}
+    assert added[13].count("iban") == 2 and added[13].count("ssn") == 2
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(awkward).collect()}
+    assert clean[14] == "😀 mail <EMAIL> then +123456789012345678 and <IP>" and clean[1] == ""
+
+
+def test_queries_return_their_columns(spark):
+    want = {
+        "op1_mix_sources": "doc_id size source_size target taken",
+        "op3_shard_documents": "doc_id size text_crc32 law shard slot grown_shard",
+        "op4_filter_urls": "page_id host path rule verdict",
+        "op5_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op6_extract_text": "page_id url text n_chars",
+        "op8_apply_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op9_link_near_copies": "doc_id fingerprint component_id",
+        "op10_find_personal_data": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    }
+    for name, columns in want.items():
+        df = QUERIES[name](spark, SF)
+        assert df.columns[: len(columns.split())] == columns.split()
+        kinds = dict(df.dtypes)
+        assert not any(isinstance(f.dataType, T.NullType) for f in df.schema) and kinds.get("size", "bigint") == "bigint"
