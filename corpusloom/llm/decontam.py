@@ -53,7 +53,8 @@ def item_windows(items: DataFrame, window: int = WINDOW, item_id: str = "item_id
     cut_up = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), words_of(ascii_lower(text_of(text)), GAP_LOWER).alias("w")).where(F.size("w") > 0)
     length = F.least(F.lit(window), F.size("w"))
     starts = cut_up.select("item", "w", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("s"))
-    return starts.groupBy(F.array_join(F.slice("w", F.col("s") + 1, F.col("length")), " ").alias("window"), "length").agg(F.collect_set("item").alias("items"))
+    named = starts.select("item", "length", F.array_join(F.slice("w", F.col("s") + 1, F.col("length")), " ").alias("window"))
+    return named.groupBy("window", "length").agg(F.collect_set("item").alias("items"))
 
 
 def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -67,14 +68,16 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def doc_words(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, raw (the words as they stand), words (lower case)."""
     t = text_of("text")
-    return docs.select("doc_id", F.xxhash64(t).alias("text_key"), t.alias("t"), words_of(F.lower(t), GAP_LOWER).alias("words"))
+    cut_up = docs.select("doc_id", F.xxhash64(t).alias("text_key"), words_of(t, GAP_ANY).alias("raw"))
+    return cut_up.select("*", F.transform("raw", F.lower).alias("words"))
 
 
 def at_shingles(words: DataFrame, size: int) -> DataFrame:
     """``words`` x its shingles of ``size`` words: adds pos and key."""
     last = F.size("words") - size
-    spread = words.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    spread = words.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos"))
     return spread.withColumn("key", shingle_key(F.col("words"), F.col("pos"), size))
 
 
@@ -117,17 +120,20 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     hits = None
     for (size,) in sorted(table.select("size").distinct().collect()):
         for part in blocks(table.where(F.col("size") == size).select("key", "windows")):
+            # The join and the cut of the words around a match are one generated
+            # loop: of a long text only matches with their surroundings leave it.
+            # A filter on the windows would become part of the join and break that.
             near = at_shingles(doc_words(docs), size).join(F.broadcast(part), "key")
-            fits = lambda a: (F.col("pos") >= a["at"]) & (F.col("pos") - a["at"] + a["length"] <= F.size("words"))
-            same = lambda ws, a: F.array_join(F.slice(ws, F.col("pos") - a["at"] + 1, a["length"]), " ")
-            near = near.withColumn("windows", F.filter("windows", lambda a: fits(a) & (same(F.col("words"), a) == F.lower(a["window"])))).where(F.size("windows") > 0)
-            # raw is named twice so that it stays a column and is not cut anew for each window
-            near = near.withColumn("raw", words_of(F.col("t"), GAP_ANY)).withColumn("windows", F.when(F.size("raw") > 0, F.filter("windows", lambda a: ascii_lower(same(F.col("raw"), a)) == a["window"]))).where(F.size("windows") > 0)
-            found = near.select("doc_id", "text_key", F.transform("windows", lambda a: F.struct((F.col("pos") - a["at"]).alias("s"), a["length"].alias("length"), a["items"].alias("items"))).alias("found"))
+            lead = F.least(F.col("pos"), F.lit(window - 1))
+            near = near.select("doc_id", "text_key", "pos", "windows", F.size("raw").alias("n"), lead.alias("lead"), F.slice("raw", F.col("pos") - lead + 1, F.lit(2 * window - 1)).alias("around"))
+            fits = lambda a: (F.col("lead") >= a["at"]) & (F.col("pos") - a["at"] + a["length"] <= F.col("n"))
+            same = lambda a: ascii_lower(F.array_join(F.slice("around", F.col("lead") - a["at"] + 1, a["length"]), " ")) == a["window"]
+            true = F.when(F.size("around") > 0, F.filter("windows", lambda a: F.when(fits(a), same(a)).otherwise(F.lit(False))))
+            found = near.select("doc_id", "text_key", F.transform(true, lambda a: F.struct((F.col("pos") - a["at"]).alias("s"), a["length"].alias("length"), a["items"].alias("items"))).alias("found"))
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("hit_items")).limit(0)
-    grouped = hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    grouped = hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("found")).alias("found")).where(F.size("found") > 0)
     spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["length"].alias("length")))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))))
     return grouped.select("doc_id", "text_key", union_length(spans).alias("n_hit"), names.alias("hit_items"))

@@ -59,7 +59,8 @@ def matches(text: Column, kind: Kind) -> Column:
     def step(acc, piece):
         start = acc["at"] + F.length(piece["gap"])
         end = start + F.length(piece["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match"), F.right(piece["gap"], F.lit(CONTEXT_CHARS)).alias("before"))
+        near = F.least(start, F.lit(CONTEXT_CHARS if kind.context else 0))
+        span = F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match"), F.substr(text, start - near + 1, near).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     pieces = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
