@@ -1 +1 @@
-
+"""Column functions: text primitives and scalar helpers."""

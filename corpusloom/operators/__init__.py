@@ -1 +1 @@
-
+"""Operators over corpora, metrics, event logs and evaluations."""
