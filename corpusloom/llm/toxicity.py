@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Labelled texts of each class that are fitted, chosen by hash of the id.
-SAMPLE = 3000
+SAMPLE = 2000
 LANDMARKS = 256
 DECAY, SPAN = 0.7, 6
 LETTERS = 64
@@ -97,21 +97,30 @@ def norms(code: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1e-12))
 
 
-def expand(code: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Kernel sums of strings against triple weights: (len(code), ...)."""
+def expand(code: np.ndarray, table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Kernel sums of strings against triple weights: (len(code), ...).
+    ``place`` gives a triple's row where the table holds some triples only."""
     total = np.zeros((len(code), *table.shape[1:]))
     for ids, inside, w in triples(code):
+        ids = ids if place is None else place[ids]
         total += w * (table[ids] * (inside if table.ndim == 1 else inside[..., None])).sum(axis=1)
     return total / norms(code).reshape(-1, *[1] * (table.ndim - 1))
 
 
-def landmark_table(code: np.ndarray) -> np.ndarray:
-    """Triple weights of each landmark, normalised: (LETTERS ** 3, m)."""
-    table, size = np.zeros((LETTERS**3, len(code)), np.float32), norms(code)
+def landmark_table(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised triple weights of each landmark, a row for each triple
+    that any of them has after a row of zeros, and the triples' places."""
+    size, parts = norms(code), []
     for ids, inside, w in triples(code):
         r, c = np.nonzero(inside)
-        np.add.at(table, (ids[r, c], r), w / size[r])
-    return table
+        parts.append((ids[r, c], r, w / size[r]))
+    ids, r, w = (np.concatenate(x) for x in zip(*parts))
+    own = np.unique(ids)
+    place = np.zeros(LETTERS**3, np.int32)
+    place[own] = np.arange(1, len(own) + 1)
+    table = np.zeros((len(own) + 1, len(code)), np.float32)
+    np.add.at(table, (place[ids], r), w)
+    return table, place
 
 
 #: Strings with a margin below this say nothing.
@@ -213,13 +222,16 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
         return Model(None, constant=float(y.mean()))
 
     # First guess: log-odds of the texts' letter fourgrams, averaged over a string.
-    grams = [[s[i : i + 4] for i in range(max(1, len(s) - 3))] for s in (u.strip(STRIP) or u for u in units)]
+    def grams(i: int) -> list[str]:
+        s = units[i].strip(STRIP) or units[i]
+        return [s[k : k + 4] for k in range(max(1, len(s) - 3))]
+
     seen = (Counter(), Counter())
     for at, label in zip(bag_at, y):
-        seen[label].update({g for i in at for g in grams[i]})
+        seen[label].update({g for i in at for g in grams(i)})
     n1, n0 = int(y.sum()), int((1 - y).sum())
     odds = {g: np.log((seen[1][g] + 0.5) / (n1 + 1)) - np.log((seen[0][g] + 0.5) / (n0 + 1)) for g in seen[1] | seen[0]}
-    guess = np.array([np.mean([odds[g] for g in gs]) * min(1, len(gs) / 2) for gs in grams])
+    guess = np.array([sum(odds[g] for g in gs) / len(gs) * min(1, len(gs) / 2) for gs in map(grams, range(len(units)))])
     held = (Counter(), Counter())
     for at, label in zip(bag_at, y):
         held[label].update(at.tolist())
@@ -240,8 +252,9 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
     rest = rng.permutation(np.unique(hard))[: half // 2]
     plain = rng.permutation(len(units))[: landmarks - len(top) - len(rest)]
     marks = np.unique(np.r_[top, rest, plain].astype(np.int64))
-    table = landmark_table(encode_first([units[i] for i in marks]))
-    gram = expand(encode_first([units[i] for i in marks]), table)
+    del odds, seen, held
+    table, place = landmark_table(encode_first([units[i] for i in marks]))
+    gram = expand(encode_first([units[i] for i in marks]), table, place)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     use = values > 1e-6 * values.max()
     whiten = vectors[:, use] / np.sqrt(values[use])
@@ -251,7 +264,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
         new = [i for i in np.unique(at).tolist() if i not in cache]
         for k in range(0, len(new), 256):
             part = new[k : k + 256]
-            cache.update(zip(part, expand(encode_first([units[i] for i in part]), table) @ whiten))
+            cache.update(zip(part, expand(encode_first([units[i] for i in part]), table, place) @ whiten))
         return np.array([cache[i] for i in at])
 
     random = np.array([rng.choice(bag_at[i]) for i in clean for _ in range(2)])
@@ -259,13 +272,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
         negative = np.unique(np.r_[hard, random])
         often = Counter(positive.tolist())
         bent = [v for i, _ in often.most_common(200) if len(u := units[i].strip(STRIP)) > 4 for v in disturbed(u, rng)]
-        parts = [features(np.array(list(often))), features(negative)] + ([expand(encode_first(bent), table) @ whiten] if bent else [])
+        parts = [features(np.array(list(often))), features(negative)] + ([expand(encode_first(bent), table, place) @ whiten] if bent else [])
         x = np.concatenate(parts)
         target = np.r_[np.ones(len(often)), -np.ones(len(negative)), np.ones(len(bent))]
         weight = np.sqrt(np.array(list(often.values()), float))
         cost = 1000 * np.r_[weight / weight.sum(), np.full(len(negative), 1 / len(negative)), np.full(len(bent), 0.5 / max(1, len(bent)))]
         v, bias = svm(x, target, cost)
-        model = Model((table @ (whiten @ v).astype(np.float32)).astype(np.float32), bias)
+        model = Model((table @ (whiten @ v).astype(np.float32))[place], bias)
         score = model.decide(units)
         positive, hard = np.r_[sure, worst(score, toxic)], np.unique(np.r_[hard, worst(score, clean)])
     every = [score[bag_at[i]] for i in range(len(y))]
@@ -287,16 +300,25 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled texts of each class outside fold
     0, taken in the order of a hash of the id, so the same at every run.
-    Only the sampled ids go out to the documents and only their texts come
-    back to the driver: a bounded table whatever the corpus."""
+    Only the sampled ids go out to the documents, only their texts come
+    together, in one task on an executor, and only the model's weights
+    reach the driver: bounded whatever the corpus."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     part = [usable.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
     picked = part[0].unionByName(part[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted({(r["doc_id"], r["text"] or "", int(r["toxic"])) for r in rows})
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sorted({r for b in batches for r in b[["doc_id", "text", "toxic"]].itertuples(index=False, name=None)})
+        m = fit([r[1] for r in own], [r[2] for r in own])
+        yield pd.DataFrame({"weights": [None if m.weights is None else m.weights.astype(np.float32).tobytes()], "bias": [m.bias], "curve": [None if m.curve is None else m.curve.tolist()], "constant": [m.constant]})
+
+    got = rows.repartition(1).mapInPandas(learn, "weights binary, bias double, curve array<double>, constant double").collect()
+    if not got or got[0]["weights"] is None:
+        return Model(None, constant=got[0]["constant"] if got else 0.0)
+    return Model(np.frombuffer(bytes(got[0]["weights"]), np.float32), got[0]["bias"], np.array(got[0]["curve"]))
 
 
 def score_udf(spark, model: Model, memo: int = 300_000):
