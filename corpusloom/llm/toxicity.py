@@ -188,19 +188,31 @@ def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 30) -> tuple[n
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression with Platt's smoothed targets, by damped Newton
-    steps; the last weight is the intercept."""
+    """Logistic regression with Platt's smoothed targets, by Newton steps
+    with a line search; the last weight is the intercept."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x1, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    x1, w = np.c_[(x - mean) / scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     penalty = np.r_[np.full(x.shape[1], ridge), 1e-6]
-    for _ in range(100):
+
+    def loss(w: np.ndarray) -> float:
+        z = x1 @ w
+        return float((np.logaddexp(0, z) - t * z).sum() + (penalty * w * w).sum() / 2)
+
+    now = loss(w)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty + 1e-9), x1.T @ (p - t) + penalty * w)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-7:
+        slope = x1.T @ (p - t) + penalty * w
+        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty + 1e-9), slope)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * (slope @ step):
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-8:
             break
-    return w
+        w = w - size * step
+        now = loss(w)
+    return np.r_[w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum()]
 
 
 def disturbed(unit: str, rng: np.random.Generator) -> list[str]:
