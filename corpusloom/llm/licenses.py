@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.llm.textcols import text_of
 
 #: Any sentence of interest has one of these; the rest is not looked at.
-HINT = r"licen[cs]|copyright|permission|permitted|warranty|redistribut|public domain|spdx|all rights reserved|liable"
+HINT = r"licen[cs]|later version|as is|copyright|permission|permitted|warranty|redistribut|public domain|spdx|all rights reserved|liable"
 SENTENCE_END = r"(?<=[.;:!?])\s+|\n"
 
 #: Ordered: the first pattern that a normalised sentence contains names it.
