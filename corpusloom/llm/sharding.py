@@ -46,10 +46,13 @@ def _digit(level: Column, text_key: Column, row_key: Column, root_bits: int) ->
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (the row), size, text_key, row_key, node and level of the root."""
+    """doc (the row), size, text_crc32, text_key, row_key.  All that is
+    derived from a text is derived here, before the exchange, so a caller
+    that selects no text moves none."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
     plain = [F.to_json(F.struct(c)) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in docs.dtypes]
-    return docs.select(F.struct("*").alias("doc"), size.alias("size"), F.xxhash64("text").alias("text_key"), F.xxhash64(*plain).alias("row_key"))
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return docs.select(F.struct("*").alias("doc"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64("text").alias("text_key"), F.xxhash64(*plain).alias("row_key"))
 
 
 def _descend(rows: DataFrame, splits: list[tuple], root_bits: int) -> DataFrame:
@@ -127,5 +130,4 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
     table = docs.sparkSession.createDataFrame(final or [(0, 0, 0)], "node long, shard int, before long")
     order = Window.partitionBy("node").orderBy("text_key", "row_key")
     placed = rows.join(F.broadcast(table), "node").withColumn("slot", F.col("before") + F.row_number().over(order) - 1)
-    crc = F.crc32(F.coalesce(F.col("doc.text"), F.lit("")))
-    return placed.select("doc", "size", crc.alias("text_crc32"), "shard", F.col("slot").cast("long"))
+    return placed.select("doc", "size", "text_crc32", "shard", F.col("slot").cast("long"))
