@@ -152,9 +152,10 @@ class Model:
         if not units:
             return np.zeros(0)
         out = np.full(len(units), -np.inf)
-        code, owner = encode(units)
-        for k in range(0, len(code), 1 << 14):
-            np.maximum.at(out, owner[k : k + (1 << 14)], expand(code[k : k + (1 << 14)], self.weights) + self.bias)
+        for first in range(0, len(units), 1 << 13):
+            code, owner = encode(units[first : first + (1 << 13)])
+            for k in range(0, len(code), 1 << 13):
+                np.maximum.at(out, first + owner[k : k + (1 << 13)], expand(code[k : k + (1 << 13)], self.weights) + self.bias)
         return out
 
     def probability(self, evidences: list[tuple]) -> np.ndarray:
@@ -226,10 +227,12 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
     if len(y) == 0 or y.min() == y.max():
         return Model(None, constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(7)
-    bags = [sorted(strings(t)) for t in texts]
+    shared: dict[str, str] = {}
+    bags = [[shared.setdefault(u, u) for u in sorted(strings(t))] for t in texts]
     index = {u: i for i, u in enumerate(sorted({u for b in bags for u in b}))}
     units = list(index)
     bag_at = [np.array([index[u] for u in b], np.int64) for b in bags]
+    del bags, shared
     if not units:
         return Model(None, constant=float(y.mean()))
 
@@ -333,7 +336,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(np.frombuffer(bytes(got[0]["weights"]), np.float32), got[0]["bias"], np.array(got[0]["curve"]))
 
 
-def score_udf(spark, model: Model, memo: int = 300_000):
+def slices(texts: pd.Series, chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """``texts`` in order, in parts of about ``chars`` characters; a longer
+    text is a part of its own."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t or "") > chars:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t or "")
+    if part:
+        yield part
+
+
+def evidences(m: Model, texts: list[str | None], known: dict[str, float | None], memo: int) -> list[tuple]:
+    """The evidence of each text; ``known`` keeps at most ``memo`` margins,
+    or those of ``texts`` where they are more."""
+    bags = [strings(t) for t in texts]
+    new = list({u for b in bags for u in b if u not in known})
+    if len(known) + len(new) > memo:
+        known.clear()
+        new = list({u for b in bags for u in b})
+    known.update((u, x if x > SILENT else None) for u, x in zip(new, m.decide(new).tolist()))
+    return [evidence(len(b), [x for x in map(known.__getitem__, b) if x is not None]) for b in bags]
+
+
+def score_udf(spark, model: Model, memo: int = 100_000):
     shared = spark.sparkContext.broadcast((model.weights, model.bias, model.curve, model.constant))
 
     @F.pandas_udf("double")
@@ -343,14 +372,8 @@ def score_udf(spark, model: Model, memo: int = 300_000):
             if m.weights is None:
                 yield pd.Series(np.full(len(texts), m.constant))
                 continue
-            bags = [strings(t) for t in texts]
-            new = list({u for b in bags for u in b if u not in known})
-            if len(known) + len(new) > memo:
-                known.clear()
-                new = list({u for b in bags for u in b})
-            known.update((u, x if x > SILENT else None) for u, x in zip(new, m.decide(new).tolist()))
-            found = [[x for x in map(known.__getitem__, b) if x is not None] for b in bags]
-            yield pd.Series(m.probability([evidence(len(b), x) for b, x in zip(bags, found)]))
+            out = [evidences(m, part, known, memo) for part in slices(texts)]
+            yield pd.Series(m.probability([e for part in out for e in part]))
 
     return score
 
