@@ -1,13 +1,14 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences, sentences are normalised and mapped to the
-identifiers of known licence sentences, and the sequence of a text's
-identifiers is matched against licence rules in order: a rule is a run of
-identifiers, longer rules come first, and what a rule has matched is taken
-out before the next is tried.
-
-All of it is native: identifiers come from one ordered CASE per sentence,
-tried only on sentences with a licence word, and rules are ordered
+Texts are cut into sentences at blank lines and full stops, so that wrapped
+lines stay together.  Sentences are normalised and what they hold of known
+licence sentences is mapped to identifiers, in order, and the sequence of a
+text's identifiers is matched against licence rules in order: a rule is a
+run of identifiers, longer rules come first, and what a rule has matched is
+taken out before the next is tried.  An SPDX tag names its licences itself.
+
+All of it is native: identifiers come from ordered replacements in a
+sentence, tried only on sentences with a licence word, and rules are ordered
 replacements in the joined sequence.
 
 Defined cases: null and empty texts have no sentences and no licence;
@@ -22,21 +23,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.llm.textcols import text_of
 
 #: Any sentence of interest has one of these; the rest is not looked at.
-HINT = r"licen[cs]|later version|as is|copyright|permission|permitted|warranty|redistribut|public domain|spdx|all rights reserved|liable"
-SENTENCE_END = r"(?<=[.;:!?])\s+|\n"
+HINT = r"(?i)licen[cs]|later[\W_]+version|\bas[\W_]+is\b|copyright|permission|permitted|warranty|redistribut|public[\W_]+domain|spdx|rights[\W_]+reserved|liable|endorse|\bcc[\W_]*(?:by|0|zero)|creative[\W_]+commons"
+#: Marks of comments at the start of a line.
+MARK = r"[ \t\r/*#;%>-]"
+#: Blank lines, stops but those of abbreviated company names, and before a line with a copyright notice.
+SENTENCE_END = (
+    rf"(?i)\n{MARK}*\n|(?<=[.!?])(?<!\b(?:inc|ltd|corp|co)\.)\s+"
+    rf"|(?:\n|(?<=[;:])[ \t])(?={MARK}{{0,12}}copyright\b(?!\W+(?:notices?|holders?|owners?|statements?|laws?|licen[cs]es?|and|or|in)\b))"
+)
+SPDX_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+SPDX = rf"(?i)SPDX-License-Identifier:[ \t]*(\(*{SPDX_ID}\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*{SPDX_ID}\)*)*)"
+#: Up to a version number, over none.
+TO = r"(?:(?!\bv?[123]\b)[^#])*?\bv?"
 
-#: Ordered: the first pattern that a normalised sentence contains names it.
+#: Ordered: what a pattern matches in a normalised sentence is taken before the next is tried.
 SENTENCES = (
     ("SpdxTag", r"spdx license identifier"),
     ("ApacheRef2", r"licensed under the apache license,? ?(?:version|v)? ?2"),
     ("ApacheCondition", r"you may not use this (?:file|work) except in compliance with the license"),
     ("ApacheCopy", r"you may obtain a copy of the license at"),
     ("AsIsApache", r"distributed on an as is basis"),
-    ("AGPL3", r"gnu affero general public license.*\b3"),
-    ("LGPL3", r"gnu (?:lesser|library) general public license.*\b3"),
-    ("LGPL2", r"gnu (?:lesser|library) general public license.*\b2"),
-    ("GPL3", r"gnu general public license.*\b3"),
-    ("GPL2", r"gnu general public license.*\b2"),
+    ("GPLSee", r"see the gnu general public license for more details"),
+    ("GPLCopy", r"received a copy of the gnu general public license"),
+    ("AGPL3", rf"gnu affero general public license{TO}3\b"),
+    ("LGPL3", rf"gnu (?:lesser|library) general public license{TO}3\b"),
+    ("LGPL2", rf"gnu (?:lesser|library) general public license{TO}2\b"),
+    ("GPL3", rf"gnu general public license{TO}3\b"),
+    ("GPL2", rf"gnu general public license{TO}2\b"),
     ("GPLAny", r"gnu general public license"),
     ("OrLater", r"any later version"),
     ("FsfNoWarranty", r"without any warranty"),
@@ -47,20 +60,20 @@ SENTENCES = (
     ("BSDGrant", r"redistribution and use in source and binary forms"),
     ("BSDSource", r"redistributions of source code must retain"),
     ("BSDBinary", r"redistributions in binary form must reproduce"),
-    ("BSDNoEndorse", r"neither the name of .* may be used to endorse"),
-    ("BSDAsIs", r"this software is provided by .* as is"),
+    ("BSDNoEndorse", r"neither the name of [^#]*? may be used to endorse"),
+    ("BSDAsIs", r"this software is provided by [^#]*? as is"),
     ("ISCGrant", r"permission to use, copy, modify,? and(?:/or)? distribute this software"),
     ("MPL2Ref", r"mozilla public license,? ?(?:version|v\.?)? ?2"),
-    ("CCByNcSa", r"(?:cc by nc sa|creative commons attribution noncommercial sharealike)"),
-    ("CCByNcNd", r"(?:cc by nc nd|creative commons attribution noncommercial noderiv)"),
-    ("CCByNc", r"(?:cc by nc|creative commons attribution noncommercial)"),
-    ("CCBySa", r"(?:cc by sa|creative commons attribution sharealike)"),
-    ("CCByNd", r"(?:cc by nd|creative commons attribution noderiv)"),
-    ("CC0", r"(?:cc0|creative commons zero)"),
-    ("CCBy", r"(?:cc by|creative commons attribution)"),
+    ("CCByNcSa", r"(?:\bcc by nc sa|creative commons attribution non ?commercial share ?alike)"),
+    ("CCByNcNd", r"(?:\bcc by nc nd|creative commons attribution non ?commercial no ?deriv)"),
+    ("CCByNc", r"(?:\bcc by nc|creative commons attribution non ?commercial)"),
+    ("CCBySa", r"(?:\bcc by sa|creative commons attribution share ?alike)"),
+    ("CCByNd", r"(?:\bcc by nd|creative commons attribution no ?deriv)"),
+    ("CC0", r"(?:\bcc ?0|\bcc zero|creative commons zero)"),
+    ("CCBy", r"(?:\bcc by\b|creative commons attribution)"),
     ("PublicDomain", r"(?:in|into|to) the public domain"),
     ("AllRights", r"all rights reserved"),
-    ("Copyright", r"^copyright|copyright \(?c\)?"),
+    ("Copyright", r"^[/ ]*copyright|copyright (?:\(c\)|c\b|\d{4}\b)"),
 )
 
 #: Ordered: longer sequences first.
@@ -70,12 +83,10 @@ RULES = (
     ("BSD-3-Clause", ("BSDGrant", "BSDSource", "BSDBinary", "BSDNoEndorse", "BSDAsIs")),
     ("BSD-2-Clause", ("BSDGrant", "BSDSource", "BSDBinary", "BSDAsIs")),
     ("MIT", ("MITGrant", "MITNotice", "MITAsIs")),
-    ("GPL-3.0-or-later", ("GPL3", "OrLater", "FsfNoWarranty")),
-    ("GPL-2.0-or-later", ("GPL2", "OrLater", "FsfNoWarranty")),
+    *((f"GPL-{v}.0{later}", (f"GPL{v}", *run, "FsfNoWarranty", *tail)) for tail in (("GPLSee", "GPLCopy"), ("GPLSee",), ()) for later, run in (("-or-later", ("OrLater",)), ("", ())) for v in (3, 2)),
     ("GPL-3.0-or-later", ("GPL3", "OrLater")),
     ("GPL-2.0-or-later", ("GPL2", "OrLater")),
-    ("LGPL-3.0-or-later", ("LGPL3", "OrLater")),
-    ("LGPL-2.1-or-later", ("LGPL2", "OrLater")),
+    *((name, (*run, "OrLater", *tail)) for tail in (("FsfNoWarranty",), ()) for name, run in (("AGPL-3.0-or-later", ("AGPL3",)), ("LGPL-3.0-or-later", ("LGPL3",)), ("LGPL-2.1-or-later", ("LGPL2",)))),
     ("Apache-2.0", ("ApacheRef2",)),
     ("AGPL-3.0", ("AGPL3",)),
     ("LGPL-3.0", ("LGPL3",)),
@@ -83,6 +94,9 @@ RULES = (
     ("GPL-3.0", ("GPL3",)),
     ("GPL-2.0", ("GPL2",)),
     ("GPL", ("GPLAny",)),
+    ("GPL", ("GPLSee", "GPLCopy")),
+    ("GPL", ("GPLSee",)),
+    ("GPL", ("GPLCopy",)),
     ("MIT", ("MITRef",)),
     ("MIT", ("MITGrant",)),
     ("BSD", ("BSDGrant",)),
@@ -101,35 +115,52 @@ RULES = (
 
 
 def normalised(sentence: Column) -> Column:
-    """Lower case, American spelling, punctuation but commas as spaces."""
-    plain = F.regexp_replace(F.lower(sentence), "licence", "license")
+    """One line in lower case, American spelling, punctuation but commas as spaces."""
+    plain = F.regexp_replace(F.lower(sentence), rf"\n{MARK}*", " ")
+    plain = F.regexp_replace(plain, "licence", "license")
     plain = F.regexp_replace(plain, r"[^\p{L}\p{N}.,()/]+", " ")
     return F.trim(F.regexp_replace(plain, r"\.(?=\s|$)", ""))
 
 
-def identifier(sentence: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
-        out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+def identifiers(sentence: Column) -> Column:
+    """What a normalised sentence holds, in order."""
+    for name, pattern in SENTENCES:
+        sentence = F.regexp_replace(sentence, pattern, f" #{name}# ")
+    return F.regexp_extract_all(sentence, F.lit(r"#(\w+)#"), F.lit(1))
+
+
+def spdx_names(sentence: Column) -> Column:
+    """The licences of a sentence that is an SPDX tag, as ``Spdx:`` and the
+    name that the rules give them; exceptions are not licences."""
+    plain = F.regexp_replace(F.regexp_extract(sentence, SPDX, 1), r"[()]", "")
+    plain = F.regexp_replace(plain, rf"(?i)\s+with\s+{SPDX_ID}", "")
+    names = F.split(plain, r"(?i)\s+(?:and|or)\s+", -1)
+
+    def named(x: Column) -> Column:
+        for pattern, name in ((r"-only$", ""), (r"\+$", "-or-later"), (r"^(CC0|CC-BY[A-Za-z-]*)-[0-9.]+$", "$1")):
+            x = F.regexp_replace(x, pattern, name)
+        return F.concat(F.lit("Spdx:"), x)
+
+    return F.transform(names, named)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc (the row), sentences (identifiers), licenses, unmatched."""
     t = text_of(text)
-    candidates = F.filter(F.split(t, SENTENCE_END, -1), lambda s: s.rlike(f"(?i){HINT}"))
-    # a sentence without a stop ends where the next line begins, but licence texts wrap: nothing is lost, as patterns are short
-    ids = F.filter(F.transform(candidates, lambda s: identifier(normalised(s))), lambda x: x.isNotNull())
-    hinted = F.when(t.rlike(f"(?i){HINT}|cc0|cc.by"), ids).otherwise(F.array().cast("array<string>"))
+    candidates = F.filter(F.split(F.regexp_replace(t, SPDX, "\n\nSPDX-License-Identifier: $1\n\n"), SENTENCE_END, -1), lambda s: s.rlike(HINT))
+    ids = F.flatten(F.transform(candidates, lambda s: F.when(s.rlike(SPDX), spdx_names(s)).otherwise(identifiers(normalised(s)))))
+    hinted = F.when(t.rlike(HINT), ids).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.struct("*").alias("doc"), hinted.alias("sentences"))
     joined, marks = F.concat(F.lit(" "), F.array_join("sentences", "  "), F.lit(" ")), [name for name, _ in RULES]
     for i, (_, run) in enumerate(RULES):
         joined = F.replace(joined, F.lit(" " + "  ".join(run) + " "), F.lit(f" #{i} "))
     left = F.array_remove(F.split(joined, " +", -1), "")
     names = F.array(*[F.lit(m) for m in marks])
+    taken = lambda x: F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("Spdx:"))
+    name = lambda x: F.when(F.startswith(x, F.lit("#")), F.element_at(names, F.substr(x, F.lit(2)).cast("int") + 1)).otherwise(F.substr(x, F.lit(6)))
     return rows.select(
         "doc",
         "sentences",
-        F.transform(F.filter(left, lambda x: F.startswith(x, F.lit("#"))), lambda x: F.element_at(names, F.substr(x, F.lit(2)).cast("int") + 1)).alias("licenses"),
-        F.filter(left, lambda x: ~F.startswith(x, F.lit("#"))).alias("unmatched"),
+        F.transform(F.filter(left, taken), name).alias("licenses"),
+        F.filter(left, lambda x: ~taken(x)).alias("unmatched"),
     )

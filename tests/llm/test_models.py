@@ -72,6 +72,54 @@ def test_licenses(spark):
     assert got == {1: (["Apache-2.0"], []), 2: ([], []), 3: (["GPL-3.0-or-later"], []), 4: (["MIT", "CC-BY-NC"], []), 5: ([], ["Copyright"])}
 
 
+BSD3 = """Copyright (c) 2020, Someone Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+3. Neither the name of Someone Inc. nor the names of its
+   contributors may be used to
+   endorse or promote products derived from this software.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GPL = """# This program is free software%s you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation%s either version %d of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_licenses_of_wrapped_texts_names_and_tags(spark):
+    rows = {
+        "This work is available under CC BY-SA 4.0.": ["CC-BY-SA"],
+        "Published under CC0.": ["CC0"],
+        "Creative Commons Attribution-ShareAlike 4.0.": ["CC-BY-SA"],
+        "per acc by hand": [],
+        BSD3: ["Proprietary", "BSD-3-Clause"],
+        GPL % (":", ",", 3): ["GPL-3.0-or-later"],
+        GPL % (";", ";", 2): ["GPL-2.0-or-later"],
+        "// SPDX-License-Identifier: MIT\nint x;": ["MIT"],
+        "/* SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) OR Apache-2.0 */": ["GPL-2.0-or-later", "Apache-2.0"],
+        "Licensed under the MIT License\nDual: CC-BY-NC": ["MIT", "CC-BY-NC"],
+        "GNU General Public License, version 2 or any later version, see section 3": ["GPL-2.0-or-later"],
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc.text", "licenses", "unmatched").collect()
+    assert {r[0]: r[1] for r in got} == rows
+    assert {r[0]: r[2] for r in got if r[2]} == {BSD3: ["Copyright"]}
+
+
 def test_urls(spark):
     def page(i, url, *links):
         return i, url, "".join(f'<a href="{x}">x</a>' for x in links)
