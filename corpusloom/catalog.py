@@ -357,7 +357,7 @@ def auc_bootstrap(spark, sf_dir):
 @register()
 def fresh_probe(spark, sf_dir):
     rows = labelled(spark, sf_dir, 1).withColumn("label", F.lit(1)).unionByName(labelled(spark, sf_dir, 0).withColumn("label", F.lit(0)))
-    return evaluation.auc(evaluation.probe(rows.withColumnRenamed("doc_id", "pos"), k=2, features=2000)).withColumn("auc", F.round("auc", 3))
+    return evaluation.auc(evaluation.probe(rows.withColumnRenamed("doc_id", "pos"))).withColumn("auc", F.round("auc", 3))
 
 
 @register(f"WITH {LOG}, {STATE} SELECT run_id, status, task_kind, actual_cost_usd, reserved_cost_usd, started_at FROM state")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom import catalog
 from corpusloom.operators import corpus, evaluation, events as ev, metrics
 from corpusloom.sources import io
 
@@ -135,3 +136,16 @@ def test_sources(spark, tmp_path):
     assert io.read_events(spark, str(tmp_path / "none.jsonl")).count() == 0
     with pytest.raises(ValueError):
         io.volume_path("vol://a/../../etc", "vol://a", "/data")
+
+
+def test_fresh_probe_is_registered_with_the_defaults(spark, monkeypatch):
+    seen, probe = [], evaluation.probe
+
+    def small(texts, k=5, features=50_000):
+        seen.append((k, features))
+        rows = [(i, i % 2, ("ab cd " if i % 2 else "xy zu ") * 3 + "ok" * i) for i in range(12)]
+        return probe(spark.createDataFrame(rows, "pos long, label int, text string"), k, features)
+
+    monkeypatch.setattr(evaluation, "probe", small)
+    assert catalog.QUERIES["fresh_probe"](spark, "/root/testdata/sf0.001").first()[0] == 1.0
+    assert seen == [(5, 50_000)]
