@@ -301,7 +301,7 @@ def mmd_rbf(spark, sf_dir):
 
 @register()
 def human_floor_mmd(spark, sf_dir):
-    return evaluation.human_floor(sides(spark, sf_dir)[0], n_boot=20)
+    return evaluation.human_floor(sides(spark, sf_dir)[0])
 
 
 def turns(spark, sf_dir) -> DataFrame:
@@ -351,7 +351,7 @@ def auc_rank(spark, sf_dir):
 
 @register()
 def auc_bootstrap(spark, sf_dir):
-    return evaluation.auc_interval(scores(spark, sf_dir), n_boot=200)
+    return evaluation.auc_interval(scores(spark, sf_dir))
 
 
 @register()

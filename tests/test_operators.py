@@ -1,5 +1,6 @@
 """Hand-derived results for the operators on small inputs."""
 
+import inspect
 import math
 
 import pytest
@@ -149,3 +150,16 @@ def test_fresh_probe_is_registered_with_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "probe", small)
     assert catalog.QUERIES["fresh_probe"](spark, "/root/testdata/sf0.001").first()[0] == 1.0
     assert seen == [(5, 50_000)]
+
+
+@pytest.mark.parametrize("query, operator, n_boot", [("human_floor_mmd", "human_floor", 50), ("auc_bootstrap", "auc_interval", 1000)])
+def test_intervals_are_registered_with_all_resamples(spark, monkeypatch, query, operator, n_boot):
+    signature = inspect.signature(getattr(evaluation, operator))
+
+    def seen(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        return bound.arguments["n_boot"]
+
+    monkeypatch.setattr(evaluation, operator, seen)
+    assert catalog.QUERIES[query](spark, "/root/testdata/sf0.001") == n_boot
