@@ -60,26 +60,27 @@ def strings(text: str | None) -> set[str]:
     return found
 
 
-def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all windows of all strings, each followed by SPAN
-    blanks, and the index of the string that each window belongs to.  A string with
-    other characters inside is also read without them."""
-    pieces, owner = [], []
-    for i, u in enumerate(units):
-        u = u.strip(STRIP) or u
-        for k in range(0, max(1, len(u) - WIDTH // 2), WIDTH // 2) if len(u) > WIDTH else (0,):
-            pieces.append(u[k : k + WIDTH])
-            owner.append(i)
-        if not u.isalnum() and len(bare := "".join(filter(str.isalnum, u))) > 2:
-            pieces.append(bare[:WIDTH])
-            owner.append(i)
+def windows(s: str) -> list[str]:
+    return [s[k : k + WIDTH] for k in range(0, max(1, len(s) - WIDTH // 2), WIDTH // 2)] if len(s) > WIDTH else [s]
+
+
+def readings(u: str) -> list[str]:
+    """The windows a string is read through; one with other characters
+    inside is also read without them."""
+    u = u.strip(STRIP) or u
+    bare = "" if u.isalnum() else "".join(filter(str.isalnum, u))
+    return windows(u) + (windows(bare) if len(bare) > 2 else [])
+
+
+def encode(pieces: list[str]) -> np.ndarray:
+    """Letter codes of windows, each followed by SPAN blanks."""
     size = WIDTH + SPAN
     raw = "".join(p.ljust(size, "\0") for p in pieces)
     points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where((points >= 97) & (points <= 122), points - 95, 28 + points % (LETTERS - 28))
     code = np.where((points >= 33) & (points < 97) | (points > 122) & (points < 127), 1, code)
     code = np.where(points == 0, 0, code).astype(np.int32)
-    return code.reshape(len(pieces), size), np.array(owner, np.int64)
+    return code.reshape(len(pieces), size)
 
 
 def triples(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -148,14 +149,16 @@ class Model:
     curve: np.ndarray | None = None
     constant: float = 0.0
 
+    def margins(self, pieces: list[str]) -> np.ndarray:
+        parts = [expand(encode(pieces[k : k + (1 << 13)]), self.weights) + self.bias for k in range(0, len(pieces), 1 << 13)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
     def decide(self, units: list[str]) -> np.ndarray:
-        if not units:
-            return np.zeros(0)
+        """The margin of each string's worst window."""
         out = np.full(len(units), -np.inf)
         for first in range(0, len(units), 1 << 13):
-            code, owner = encode(units[first : first + (1 << 13)])
-            for k in range(0, len(code), 1 << 13):
-                np.maximum.at(out, first + owner[k : k + (1 << 13)], expand(code[k : k + (1 << 13)], self.weights) + self.bias)
+            read = [readings(u) for u in units[first : first + (1 << 13)]]
+            np.maximum.at(out, np.repeat(np.arange(first, first + len(read)), [len(r) for r in read]), self.margins([p for r in read for p in r]))
         return out
 
     def probability(self, evidences: list[tuple]) -> np.ndarray:
@@ -227,18 +230,22 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
     if len(y) == 0 or y.min() == y.max():
         return Model(None, constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(7)
-    shared: dict[str, str] = {}
-    bags = [[shared.setdefault(u, u) for u in sorted(strings(t))] for t in texts]
-    index = {u: i for i, u in enumerate(sorted({u for b in bags for u in b}))}
+    # What is learnt from are the windows of all strings, as scoring reads them.
+    bags = [sorted(strings(t)) for t in texts]
+    whole_at = {u: i for i, u in enumerate(sorted({u for b in bags for u in b}))}
+    read = [readings(u) for u in whole_at]
+    index = {p: i for i, p in enumerate(sorted({p for r in read for p in r}))}
     units = list(index)
-    bag_at = [np.array([index[u] for u in b], np.int64) for b in bags]
-    del bags, shared
+    read_at = [np.array([index[p] for p in r], np.int64) for r in read]
+    string_at = [np.array([whole_at[u] for u in b], np.int64) for b in bags]
+    bag_at = [np.unique(np.concatenate([read_at[i] for i in at])) if len(at) else at for at in string_at]
+    del bags, whole_at, read, index
     if not units:
         return Model(None, constant=float(y.mean()))
 
     # First guess: log-odds of the texts' letter fourgrams, averaged over a string.
     def grams(i: int) -> list[str]:
-        s = units[i].strip(STRIP) or units[i]
+        s = units[i]
         return [s[k : k + 4] for k in range(max(1, len(s) - 3))]
 
     seen = (Counter(), Counter())
@@ -268,8 +275,8 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
     plain = rng.permutation(len(units))[: landmarks - len(top) - len(rest)]
     marks = np.unique(np.r_[top, rest, plain].astype(np.int64))
     del odds, seen, held
-    table, place = landmark_table(encode_first([units[i] for i in marks]))
-    gram = expand(encode_first([units[i] for i in marks]), table, place)
+    table, place = landmark_table(encode([units[i] for i in marks]))
+    gram = expand(encode([units[i] for i in marks]), table, place)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     use = values > 1e-6 * values.max()
     whiten = vectors[:, use] / np.sqrt(values[use])
@@ -279,34 +286,29 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
         new = [i for i in np.unique(at).tolist() if i not in cache]
         for k in range(0, len(new), 256):
             part = new[k : k + 256]
-            cache.update(zip(part, expand(encode_first([units[i] for i in part]), table, place) @ whiten))
+            cache.update(zip(part, expand(encode([units[i] for i in part]), table, place) @ whiten))
         return np.array([cache[i] for i in at])
 
     random = np.array([rng.choice(bag_at[i]) for i in clean for _ in range(2)])
     for _ in range(ROUNDS):
         negative = np.unique(np.r_[hard, random])
         often = Counter(positive.tolist())
-        bent = [v for i, _ in often.most_common(200) if len(u := units[i].strip(STRIP)) > 4 for v in disturbed(u, rng)]
-        parts = [features(np.array(list(often))), features(negative)] + ([expand(encode_first(bent), table, place) @ whiten] if bent else [])
+        bent = [v for i, _ in often.most_common(200) if len(units[i]) > 4 for v in disturbed(units[i], rng)]
+        parts = [features(np.array(list(often))), features(negative)] + ([expand(encode([v[:WIDTH] for v in bent]), table, place) @ whiten] if bent else [])
         x = np.concatenate(parts)
         target = np.r_[np.ones(len(often)), -np.ones(len(negative)), np.ones(len(bent))]
         weight = np.sqrt(np.array(list(often.values()), float))
         cost = 1000 * np.r_[weight / weight.sum(), np.full(len(negative), 1 / len(negative)), np.full(len(bent), 0.5 / max(1, len(bent)))]
         v, bias = svm(x, target, cost)
         model = Model((table @ (whiten @ v).astype(np.float32))[place], bias)
-        score = model.decide(units)
+        score = model.margins(units)
         positive, hard = np.r_[sure, worst(score, toxic)], np.unique(np.r_[hard, worst(score, clean)])
-    every = [score[bag_at[i]] for i in range(len(y))]
+    worst_of = np.array([score[at].max() for at in read_at])
+    every = [worst_of[at] for at in string_at]
     model.curve = logistic(np.array([evidence(len(m), m[m > SILENT].tolist()) for m in every]), np.where(y == 1, 1, -1))
     return model
 
 
-def encode_first(units: list[str]) -> np.ndarray:
-    """One window per string, for training on short strings."""
-    code, owner = encode(units)
-    return code[np.r_[True, owner[1:] != owner[:-1]]] if len(owner) else code
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo FOLDS; fold 0 is never learnt from."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS))

@@ -34,6 +34,20 @@ def test_insults_with_inserted_characters():
     assert (model.score(["", "...", None, "ga lu me ti so"]) < 0.5).all()
 
 
+def test_insults_after_the_first_window():
+    rng = random.Random(5)
+
+    def text(insult=""):
+        sign = "".join(rng.choice("bcdfglmnrst") + rng.choice("aeiou") for _ in range(20))
+        at = rng.randint(20, 30)
+        return sign[:at] + insult + sign[at:]
+
+    learnt, fresh = [(text("nincompoop" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)], [(text("nincompoop" if i % 4 == 0 else ""), i % 4 == 0) for i in range(200)]
+    model = toxicity.fit(*map(list, zip(*learnt)))
+    assert ((model.score([t for t, _ in fresh]) >= 0.5) == np.array([x for _, x in fresh])).mean() > 0.97
+    assert "nincompoop" in "".join(toxicity.readings("galumeti.sofarolibi,n-i-n-c-o-m-p-o-o-p")[-2:])
+
+
 def test_no_labels_or_one_class():
     assert toxicity.fit([], []).score(["x"])[0] == 0.0
     assert toxicity.fit(["a", "b"], [0, 0]).score(["x"])[0] == 0.0
