@@ -163,3 +163,9 @@ def test_intervals_are_registered_with_all_resamples(spark, monkeypatch, query,
 
     monkeypatch.setattr(evaluation, operator, seen)
     assert catalog.QUERIES[query](spark, "/root/testdata/sf0.001") == n_boot
+
+
+def test_modulo_pairs_count_over_gaps(spark):
+    human = spark.createDataFrame([(5, "a"), (9, "b"), (40, "c")], "pos long, text string")
+    made = spark.createDataFrame([(i,) for i in (1, 3, 4, 8, 90)], "pos long")
+    assert sorted(map(tuple, evaluation.modulo_pairs(made, human).select("pos", "human").collect())) == [(1, "a"), (3, "b"), (4, "c"), (8, "a"), (90, "b")]
