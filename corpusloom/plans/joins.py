@@ -28,3 +28,53 @@ def join_keyed(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     spread = other.withColumn("_rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     on = F.col(key).eqNullSafe(F.col("_rk")) & (F.col("_salt") == F.col("_rsalt"))
     return left.withColumn("_salt", salt).join(spread, on, how).drop("_rk", "_salt", "_rsalt")
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, *, share: int = 500) -> DataFrame:
+    """Inner join of ``left`` to a table with unique ``key``s whose column
+    ``n`` says how many rows of ``left`` have the key.
+
+    A key with more than one in ``share`` of the rows would make one task
+    large, so these keys, ``share`` at most, are broadcast and their rows
+    stay where they are.  The other rows meet by shuffle.
+    """
+    bar = max(1, (right.agg(F.sum(n)).first()[0] or 0) // share)
+    hot = right.where(F.col(n) > bar)
+    if hot.isEmpty():
+        return left.join(right, key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= bar), key)
+    return rest.unionByName(left.join(F.broadcast(hot), key).select(*rest.columns))
+
+
+#: Keys of 16 bytes or less that are broadcast to filter wide rows in place.
+KEY_ROWS = 2_000_000
+#: Bits of the bitmap that stands in for more keys than that: 16 MB.
+FILTER_BITS = 1 << 27
+WORD_BITS = 1 << 15
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], *, bound: int | None = None, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``on`` columns are among the distinct ``keys``, and the
+    others; nulls are equal to each other.
+
+    The rows are wide, so they should stay in place.  Up to ``bound`` keys
+    are broadcast and no row moves.  More keys are hashed into a bitmap of
+    ``bits`` bits, which is broadcast instead: rows that it does not hold are
+    among the others and stay in place; only rows that it holds are shuffled
+    to be compared with the keys themselves.
+    """
+    same = lambda: [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)]
+    other = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)])
+    if within(keys, KEY_ROWS if bound is None else bound):
+        small = F.broadcast(other)
+        return rows.join(small, same(), "left_semi"), rows.join(small, same(), "left_anti")
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(bits))
+    at = other.select(place([F.col(c) for c in other.columns]).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / WORD_BITS).alias("_word")).agg(F.bitmap_construct_agg(F.col("p") % WORD_BITS).alias("_bits"))
+    placed = rows.withColumn("_p", place([F.col(c) for c in on])).withColumn("_w", F.floor(F.col("_p") / WORD_BITS))
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_p % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
+    held = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("_p") % 8).cast("int"))) != 0, F.lit(False))
+    marked = placed.join(F.broadcast(words), F.col("_w") == F.col("_word"), "left").withColumn("_held", held).drop("_p", "_w", "_word", "_bits")
+    maybe, out = marked.where("_held").drop("_held"), marked.where("NOT _held").drop("_held")
+    far = other.hint("shuffle_hash")
+    return maybe.join(far, same(), "left_semi"), out.unionByName(maybe.join(far, same(), "left_anti"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "corpusloom", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -23,16 +25,38 @@ def local_session(app: str = "corpusloom", cores: str = "*", partitions: int = 8
     )
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoints go to a folder all executors share.
+
+    ``spark.checkpoint.dir`` names it.  A local session without one gets a
+    temporary folder; a cluster without one is an error, as a folder of the
+    driver's machine is not there for its executors.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
+    sc.setCheckpointDir(named)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder.
 
     The result has no lineage, so the loss of an executor costs a re-read
-    and never a replay of earlier rounds.  ``spark.checkpoint.dir`` names
-    the folder; only where it is unset (tests) is a temporary one made.
+    and never a replay of earlier rounds.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table the driver has made, as a literal: unlike
+    ``createDataFrame`` it needs no Python worker to be read."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows], separators=(",", ":"))
+    kind = "array<struct<" + ",".join(f"{f.split()[0]}:{f.split()[1]}" for f in schema.split(", ")) + ">>"
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), kind)))
