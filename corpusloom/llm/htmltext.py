@@ -8,16 +8,19 @@ one).  A decision tree grown on the small labelled table below says which
 blocks belong to the article.
 
 Defined cases: null and empty html give an empty text; html without tags
-is one block; unclosed and stray tags are tolerated; an unclosed comment or
-script runs to the end of the page; pages that repeat an id are handled
-one by one; very long pages are read whole.
+is one block; unclosed and stray tags are tolerated; an unclosed comment,
+script or style runs to the end of the page, any other unclosed element to
+the end of what holds it; a ``<`` that opens no tag is text; pages that
+repeat an id are handled one by one; very long pages are read whole, in
+time proportional to their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
@@ -25,19 +28,111 @@ from pyspark.sql import DataFrame, functions as F
 
 # The element names of HTML and the words sites use for parts of a page.
 BREAKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-HELD = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header li main menu nav ol section select span table td ul".split())
-SKIPPED = frozenset("script style noscript template textarea title iframe svg canvas object audio video select button math".split())
+HELD = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header li main menu nav noscript ol section select span svg table td template ul".split())
+#: Elements whose content is not markup; none of it is text of the page.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements that are not shown: no script runs here, templates are not rendered, drawings and choices are no text.
+UNSEEN = frozenset("noscript template svg select".split())
+LISTS = frozenset("ul ol menu".split())
 BOILER = frozenset("nav footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|sidebar|side|widgets?|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|breadcrumbs?|menus?|nav|navbar|navigation|topbar|masthead|header|footer|copyright|legal|pagination|pager|toolbar|search)(?:$|[\s_-])",
-    re.I,
+#: A class or id names a part of the page that is no article if one of these stands in it alone, first before a word
+#: of LAYOUT, or last; names such as side-by-side or social-data hold them otherwise.
+PARTS = (
+    "ad ads advert adverts advertising advertisement banner promo promos promotion sponsor sponsors sponsored cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter "
+    "subscribe subscription signup login share sharing social sidebar widget widgets related recommended recommendations comment comments commentlist replies respond disqus breadcrumb breadcrumbs menu menus nav navbar navigation "
+    "topbar masthead header footer copyright legal pagination pager toolbar searchbox searchform"
 )
+LAYOUT = "area bar block body box button buttons col column container content form group holder inner item items left links list main nav outer panel placeholder pane right row section slot top bottom unit widget wrap wrapper"
+NAMES = re.compile(rf"^(?:[a-z0-9]+[-_]+)*?(?:{'|'.join(PARTS.split())})(?:[-_]+(?:{'|'.join(LAYOUT.split())}|[0-9]+))*$", re.I)
 
-TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<")
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+class Tokens:
+    """The tags and texts of a page, each character looked at a bounded
+    number of times: a search that found nothing is not made again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.at = 0
+        self.quotes = True
+        self.absent: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        k = self.html.find(what, at)
+        if k < 0:
+            self.absent.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that is open at ``at`` has its ``>``, or -1.  A quoted
+        value may hold one.  If a quote is left open to the end of the page,
+        quotes are not to be trusted, and are ignored from there on."""
+        k = at
+        while self.quotes:
+            m = STOP.search(self.html, k)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            close = self.find(m[0], m.end())
+            if close < 0:
+                break
+            k = close + 1
+        self.quotes = False
+        return self.find(">", at)
+
+    def past(self, closing: str, at: int) -> int:
+        """The end of the first ``closing``, or of the page."""
+        k = self.find(closing, at)
+        return len(self.html) if k < 0 else k + len(closing)
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The end of the raw element's closing tag; -1 if there is none."""
+        if f"</{tag}" in self.absent:
+            return -1
+        m = re.compile(rf"</{tag}(?![a-zA-Z0-9-])", re.I).search(self.html, at)
+        if not m:
+            self.absent.add(f"</{tag}")
+            return -1
+        k = self.find(">", m.end())
+        return len(self.html) if k < 0 else k + 1
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, tag, text): kind is text, open, close or empty."""
+        html, n = self.html, len(self.html)
+        while self.at < n:
+            at = self.at
+            if html[at] != "<":
+                k = self.find("<", at)
+                self.at = n if k < 0 else k
+                yield "text", "", html[at : self.at]
+                continue
+            if html.startswith("<!--", at):
+                self.at = self.past("-->", at + 4)
+                continue
+            if html.startswith("<![CDATA[", at):
+                self.at = self.past("]]>", at)
+                continue
+            if html.startswith(("<!", "<?"), at):
+                self.at = self.past(">", at)
+                continue
+            m = NAME.match(html, at + 1)
+            end = self.tag_end(m.end()) if m else -1
+            if end < 0:
+                self.at = at + 1
+                yield "text", "", "<"
+                continue
+            self.at = end + 1
+            kind = "close" if html[at + 1] == "/" else "empty" if html[end - 1] == "/" else "open"
+            yield kind, m[1].lower(), html[m.end() : end]
+
+
 @dataclass
 class Block:
     text: str
@@ -60,26 +155,27 @@ class Element:
     boiler: bool = False
     named: bool = False
     hidden: bool = False
-    extra: dict = field(default_factory=dict)
+    #: Where in the stack the list item is that a new one of the same list ends, or -1.
+    item: int = -1
 
 
 def _element(tag: str, attributes: str, parent: Element) -> Element:
     a = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-    hidden = parent.hidden or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+    hidden = parent.hidden or tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+    own = any(NAMES.match(x) for k in ("class", "id") for x in a.get(k, "").split())
     if tag in ("article", "main") or a.get("role", "").lower() in ("article", "main"):
-        named = bool(NAMES.search(f"{a.get('class', '')} {a.get('id', '')}".strip())) or parent.named and parent.inside
-        return Element(tag, True, parent.boiler and parent.inside, named, hidden)
+        return Element(tag, True, parent.boiler and parent.inside, own or parent.named and parent.inside, hidden)
     boiler = tag in BOILER or tag == "header" and not parent.inside or a.get("role", "").lower() in ROLES
-    named = any(NAMES.search(a[k]) for k in ("class", "id") if a.get(k))
-    return Element(tag, parent.inside, parent.boiler or boiler, parent.named or named, hidden)
+    return Element(tag, parent.inside, parent.boiler or boiler, parent.named or own, hidden)
 
 
 def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack = [Element("")]
+    held: Counter[str] = Counter()
     pieces: list[str] = []
     linked: list[str] = []
-    link, at, heading = 0, 0, False
+    link, heading = 0, False
 
     def flush():
         text = " ".join(unescape("".join(pieces)).split())
@@ -89,61 +185,54 @@ def blocks(html: str) -> list[Block]:
         pieces.clear()
         linked.clear()
 
-    while at < len(html):
-        m = TOKEN.match(html, at)
-        at, got = m.end(), m[0]
-        if got[0] != "<" or got == "<":
-            pieces.append(got)
+    def drop(k: int):
+        """Close the elements of the stack from the k-th on."""
+        held.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
+    def same(a: Element, b: Element) -> bool:
+        return (a.inside, a.named, a.boiler, a.hidden) == (b.inside, b.named, b.boiler, b.hidden)
+
+    tokens = Tokens(html)
+    for kind, tag, text in tokens:
+        if kind == "text":
+            pieces.append(text)
             if link:
-                linked.append(got)
-            continue
-        if got == "<!--":
-            end = html.find("-->", at)
-            at = len(html) if end < 0 else end + 3
+                linked.append(text)
             continue
-        if got == "<![CDATA[":
-            end = html.find("]]>", at)
-            at = len(html) if end < 0 else end + 3
-            continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        closing = (m[1] or m[4]) == "/"
-        if tag in SKIPPED:
-            if not closing and not got.endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+        if tag in RAW:
+            if kind == "open":
+                end = tokens.raw_end(tag, tokens.at)
+                # browsers read an open script or style to the end; any other open one is passed over
+                tokens.at = end if end >= 0 else len(html) if tag in ("script", "style") else tokens.at
                 pieces.append(" ")
             continue
         if tag == "a":
-            link = 0 if closing else 1
+            link = 0 if kind == "close" else 1
         if tag in BREAKS:
             flush()
             link = 0 if tag != "br" else link
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            heading = not closing
-        if tag in HELD:
-            flush_needed = tag in BREAKS
-            if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        if not flush_needed and (stack[k].named or stack[k].boiler or stack[k].hidden):
-                            flush()
-                        del stack[k:]
-                        break
-            elif not got.endswith("/>"):
-                if tag == "li" and any(e.tag == "li" for e in stack[1:]):
-                    # a list item ends where the next one of its list begins
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag in ("ul", "ol", "menu"):
-                            break
-                        if stack[k].tag == "li":
-                            del stack[k:]
-                            break
-                new = _element(tag, m[3] if m[2] else m[6] or "", stack[-1])
-                if not flush_needed and (new.named, new.boiler, new.hidden) != (stack[-1].named, stack[-1].boiler, stack[-1].hidden):
+            heading = kind == "open"
+        if tag not in HELD or kind == "empty":
+            continue
+        if kind == "close":
+            if held[tag] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                if not same(stack[-1], stack[k - 1]):
                     flush()
-                stack.append(new)
+                drop(k)
+            continue
+        if tag == "li" and stack[-1].item >= 0:
+            drop(stack[-1].item)
+        new = _element(tag, text, stack[-1])
+        new.item = len(stack) if tag == "li" else -1 if tag in LISTS else stack[-1].item
+        if not same(new, stack[-1]):
+            flush()
+        stack.append(new)
+        held[tag] += 1
     flush()
     return out
 

@@ -10,15 +10,17 @@ links counts: a host is blocked if the distrust it receives exceeds
 
 Rules, and nothing else, are broadcast: they are a configuration.  Edges
 are aggregated to one weighted row per pair of hosts before the first
-iteration; every iteration is one join on the source host, which adaptive
-skew handling may split because both sides are scanned from checkpoints,
-and one partially aggregated sum.
+iteration; every iteration is one join on the source host, where hubs are
+kept apart, and one partially aggregated sum.  Iterations go on until the
+ranks have settled.
 
 Defined cases: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is allowed; a url without a path fits no rule;
-null html has no links; links within a host and relative links are not
-edges; dangling hosts return their mass to the seeds; repeated pages
-count as repeated links; an empty table gives no rows.
+null html has no links; links are the anchors of the page that name a host,
+with or without a scheme, outside comments, scripts and styles; links
+within a host are not edges; dangling hosts return their mass to the
+seeds; repeated pages count as repeated links and get a row each; an empty
+table gives no rows; other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.plans.joins import within
+from corpusloom.plans.joins import join_counted, join_keyed
 from corpusloom.session import cut
 
 
@@ -49,9 +51,16 @@ RULES = (
     Rule("net", "/es/", "block"),
     Rule("net", "/fr/", "block"),
 )
-ROUNDS, DAMPING, RATIO = 12, 0.85, 1.0
+DAMPING, RATIO = 0.85, 1.0
+#: The walk ends when no host's rank changes by more than this share of an even one.
+SETTLED = 0.01
+#: A source with more than one in so many links is joined by broadcast.
+HOT_SHARE = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HREF = r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: What is not markup of the page.
+ASIDE = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)|\z)"
+#: Anchors that name a host, with or without a scheme.
+HREF = r"""(?i)<(?:a|area)\s[^<>]*?\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s<>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -78,32 +87,47 @@ def by_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w): links between different hosts; w shares out a
     source's links."""
-    hrefs = F.when(F.contains("html", F.lit("://")), F.regexp_extract_all("html", F.lit(HREF), F.lit(1)))
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(hrefs).alias("href")).select("src", host_of(F.col("href")).alias("dst"))
-    pairs = links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    pairs = cut(pairs)
-    out = pairs.groupBy("src").agg(F.sum("n").alias("total"))
-    return pairs.join(cut(out), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w"))
+    hrefs = F.when(F.contains("html", F.lit("//")), F.regexp_extract_all(F.regexp_replace("html", ASIDE, " "), F.lit(HREF), F.lit(1)))
+    target = F.when(F.startswith("href", F.lit("//")), F.concat(F.lit("x:"), "href")).otherwise(F.col("href"))
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(hrefs).alias("href")).select("src", host_of(target).alias("dst"))
+    pairs = links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return shared_out(cut(pairs))
 
 
-def walk(hosts: DataFrame, edges: DataFrame, seed: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def shared_out(edges: DataFrame) -> DataFrame:
+    """``edges`` with the weights of each source brought to a sum of one."""
+    out = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total")))
+    return join_counted(edges, out, "src", "n").select("src", "dst", (F.col("w") / F.col("total")).alias("w"))
+
+
+def walk(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """(host, received): personalised PageRank from the weights in column
-    ``seed``, without the mass that the restart itself puts on a host."""
-    total = hosts.agg(F.sum(seed)).first()[0] or 0.0
+    ``seed``, without the mass that the restart itself puts on a host.
+
+    Every round shrinks the changes by the damping at least, so the walk
+    settles after a number of rounds that grows with the logarithm of the
+    number of hosts.  Hubs are known before the first round: their links
+    meet their ranks by broadcast, all others by a join without hot keys.
+    """
+    n, total = hosts.agg(F.count(F.lit(1)), F.sum(seed)).first()
     if not total:
         return hosts.select("host", F.lit(0.0).alias("received"))
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(cut(out.where(F.col("n") > max(1, edges.count() // HOT_SHARE)).select("src")))
+    plain, hubbed = cut(edges.join(hubs, "src", "left_anti")), cut(edges.join(hubs, "src", "left_semi"))
     start = F.col(seed) / F.lit(float(total))
-    state = cut(hosts.select("host", start.alias("p"), start.alias("rank"), F.lit(0.0).alias("received")))
-    for _ in range(rounds):
-        sent = edges.join(state.where("rank > 0").select(F.col("host").alias("src"), "rank"), "src")
-        got = cut(sent.groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("w")) * damping).alias("got")))
-        moved = got.agg(F.sum("got")).first()[0] or 0.0
-        left = state.select("host", "p").join(got, "host", "left")
-        got_or_0 = F.coalesce("got", F.lit(0.0))
-        state = cut(left.select("host", "p", (got_or_0 + F.lit(1.0 - moved) * F.col("p")).alias("rank"), got_or_0.alias("received")))
-        if not moved:
-            break
-    return state.select("host", "received")
+    sends = cut(hosts.join(out.select(F.col("src").alias("host"), F.lit(True).alias("sends")), "host", "left").select("host", start.alias("p"), F.coalesce("sends", F.lit(False)).alias("sends")))
+    state = sends.select("host", "p", "sends", F.col("p").alias("rank"), F.lit(0.0).alias("received"), F.lit(1.0).alias("change"))
+    while True:
+        mass, change = state.agg(F.sum(F.when(F.col("sends"), F.col("rank"))), F.max("change")).first()
+        if change <= settled / n:
+            return state.select("host", "received")
+        rank = state.where("sends AND rank > 0").select(F.col("host").alias("src"), "rank")
+        sent = plain.join(rank, "src").unionByName(hubbed.join(F.broadcast(rank.join(hubs, "src", "left_semi")), "src"))
+        got = sent.groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("w")) * damping).alias("got"))
+        received = F.coalesce("got", F.lit(0.0))
+        fresh = received + F.lit(1.0 - damping * (mass or 0.0)) * F.col("p")
+        state = cut(state.join(got, "host", "left").select("host", "p", "sends", fresh.alias("rank"), received.alias("received"), F.abs(fresh - F.col("rank")).alias("change")))
 
 
 def judged_hosts(pages: DataFrame, rules=RULES, ratio: float = RATIO) -> DataFrame:
@@ -121,9 +145,7 @@ def judged_hosts(pages: DataFrame, rules=RULES, ratio: float = RATIO) -> DataFra
     shares = pages.select(host_of(F.col("url")).alias("host"), (verdict == "block").cast("double").alias("b")).groupBy("host").agg(F.avg(F.coalesce("b", F.lit(0.0))).alias("bad"))
     hosts = cut(hosts.join(shares, "host", "left").select("host", (trusted & (F.coalesce("bad", F.lit(0.0)) < 0.5)).cast("double").alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")))
     trust = walk(hosts, edges, "good")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    out = cut(back.groupBy("src").agg(F.sum("w").alias("total")))
-    back = cut(back.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w")))
+    back = cut(shared_out(cut(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))))
     distrust = walk(hosts, back, "bad")
     floor = 1.0 / max(1, hosts.count())
     both = trust.withColumnRenamed("received", "trust").join(distrust.withColumnRenamed("received", "distrust"), "host")
@@ -132,12 +154,11 @@ def judged_hosts(pages: DataFrame, rules=RULES, ratio: float = RATIO) -> DataFra
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, basis: one row per page."""
-    hosts = cut(judged_hosts(pages, rules).where("blocked").select(F.col("host").alias("_host")))
+    hosts = cut(judged_hosts(pages, rules).where("blocked").select("host", F.lit(True).alias("_bad")))
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = by_rules(F.col("host"), F.col("path"), rules)
     own = own.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    other = F.broadcast(hosts) if within(hosts) else hosts
-    joined = own.join(other, own["host"] == F.col("_host"), "left")
-    decided = F.coalesce("ruled", F.when(F.col("_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    basis = F.when(F.col("rule").isNotNull(), F.lit("rule")).when(F.col("_host").isNotNull(), F.lit("links")).otherwise(F.lit("default"))
+    joined = join_keyed(own, hosts, "host", "left")
+    decided = F.coalesce("ruled", F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow")))
+    basis = F.when(F.col("rule").isNotNull(), F.lit("rule")).when(F.col("_bad"), F.lit("links")).otherwise(F.lit("default"))
     return joined.select("page_id", "host", "path", "rule", decided.alias("verdict"), basis.alias("basis"))

@@ -104,3 +104,69 @@ def pii(text):
     out.sort()
     counts = Counter(x[2].split(":")[0] for x in out)
     return *(counts[n] for n in BASE), hashlib.sha256(",".join(x[2] for x in out).encode()).hexdigest()
+
+
+def page(rng, word):
+    """A page as html and its main text, by construction."""
+
+    def words(lo, hi):
+        return [word() for _ in range(rng.randint(lo, hi))]
+
+    def junk():
+        name = rng.choice(["ad", "sidebar", "cookie-notice", "newsletter_box", "comments", "share-links", "main related-items"])
+        part = rng.choice(["<div class='%s'><p>%s</p></div>" % (name, " ".join(words(1, 30))), "<aside>%s</aside>", "<form><button>%s</button></form>", "<nav><ul><li><a href=/x>%s</a><li><a>y</a></ul></nav>", "<!-- %s -->", "<script>var a='%s </p>'</script>", "<style>%s</style>", "<noscript>%s</noscript>"])
+        return part % " ".join(words(1, 12)) if "%s" in part else part
+
+    body, truth = [], []
+    for _ in range(rng.randint(1, 8)):
+        w = words(1, 40)
+        truth.append(" ".join(w))
+        shown = [x.replace("&", "&amp;").replace("<", "&lt;") for x in w]
+        if len(shown) > 3 and rng.random() < 0.5:
+            shown[1] = rng.choice(["<b>%s</b>", "<a href='?a>b'>%s</a>", "<math><mi>%s</mi></math>", "<button>%s</button>", "<span class=side-by-side>%s</span>", "<i title=\"x>y\">%s</i>"]) % shown[1]
+        sep = rng.choice([" ", "\n  ", "&nbsp;", "\t"])
+        body.append(rng.choice(["<p>%s</p>", "<p>%s", "<div class='social-data'>%s</div>", "<blockquote>%s</blockquote>", "<ul><li>%s</li></ul>", "<h2>%s</h2>", "<table><tr><td>%s</td></tr></table>"]) % sep.join(shown))
+        if rng.random() < 0.4:
+            body.append(junk())
+    head = "<!DOCTYPE html><html><head><title>%s</title></head><body><header><a href=/>Home</a></header>" % word()
+    return head + junk() + "<article>" + "".join(body) + "</article>" + junk() + "<footer>&copy; %s</footer></body></html>" % word(), " ".join(truth)
+
+
+def blocked_hosts(pages, allowed, bad_url):
+    """Hosts that links make bad: both walks by plain iteration to the end."""
+    link = re.compile(r"""<a href=["']?((?:[a-z]+:)?//[^"'\s>]+)""")
+    host = lambda u: re.match(r"(?:.*?:)?//([^/?#]*)", u)[1].lower() if u and "//" in u else ""
+    counts, shares = defaultdict(Counter), defaultdict(list)
+    for _, url, html in pages:
+        shares[host(url)].append(bad_url(url))
+        for x in link.findall(re.sub(r"(?s)<!--.*?(-->|$)", " ", html or "")):
+            if host(url) and host(x) and host(x) != host(url):
+                counts[host(url)][host(x)] += 1
+    names = sorted({h for a, to in counts.items() for h in (a, *to)})
+    forward = {a: {b: n / sum(to.values()) for b, n in to.items()} for a, to in counts.items()}
+    back = defaultdict(dict)
+    for a, to in forward.items():
+        for b, w in to.items():
+            back[b][a] = w
+    back = {a: {b: w / sum(to.values()) for b, w in to.items()} for a, to in back.items()}
+    bad = {h: sum(shares[h]) / len(shares[h]) if shares[h] else 0.0 for h in names}
+    good = {h: float(allowed(h) and bad[h] < 0.5) for h in names}
+
+    def walk(seed, edges):
+        total = sum(seed.values())
+        if not total:
+            return dict.fromkeys(names, 0.0)
+        p = {h: seed[h] / total for h in names}
+        rank, got = dict(p), {}
+        for _ in range(300):
+            got = dict.fromkeys(names, 0.0)
+            for a, to in edges.items():
+                for b, w in to.items():
+                    got[b] += 0.85 * rank[a] * w
+            rest = 1 - sum(got.values())
+            rank = {h: got[h] + rest * p[h] for h in names}
+        return got
+
+    trust, distrust = walk(good, forward), walk(bad, back)
+    margin = {h: distrust[h] - max(1 / len(names), trust[h]) for h in names}
+    return margin

@@ -1,6 +1,7 @@
 """The trained operators: held-out accuracy and defined cases."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 
 from corpusloom.llm import htmltext, licenses, toxicity, urlfilter
 from corpusloom.llm.queries import QUERIES
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
 
@@ -80,6 +82,29 @@ def test_pages():
     assert htmltext.main_text("a " * 50_000).count("a") == 50_000
 
 
+def test_pages_against_their_making():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) + rng.choice(["", "", ".", "&", "<", "é"])
+    for _ in range(400):
+        html, text = brute.page(rng, word)
+        assert htmltext.main_text(html) == text, html
+
+
+@pytest.mark.parametrize("part", ["<a ", "<p a='", "<p '>'", "<div>", "<li>", "<div><li>", "<title>", "<svg>", "<!-", "<", "</p", "<ul><li></div>"])
+def test_long_pages_take_time_in_proportion(part):
+    began = time.process_time()
+    htmltext.main_text(part * (400_000 // len(part)))
+    assert time.process_time() - began < 3
+
+
+def test_the_query_over_pages(spark):
+    rows = [(1, None, None, "x"), (1, "u", "<p>Some text that is long enough to be an article of its own kind here today", "x"), (1, "u", "", "y")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = htmltext.extract(table).select("doc.*", htmltext.F.col("text").alias("main")).collect()
+    assert [r["main"] for r in got] == ["", rows[1][2][3:], ""] and [r["text"] for r in got] == ["x", "x", "y"]
+    assert htmltext.extract(table.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     rows = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, None), (3, "GNU General Public License, version 3. Either version 3 or any later version."), (4, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (5, "copyright (c) me")]
     got = {r[0]: (r["licenses"], r["unmatched"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", "licenses", "unmatched").collect()}
@@ -147,3 +172,26 @@ def test_urls(spark):
     assert got[20][2:] == (None, "block") and got[22][2:] == (None, "allow")
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert urlfilter.judge(empty).count() == 0
+
+
+def test_links_against_plain_iteration(spark):
+    rng = random.Random(4)
+    hosts = [f"h{i}.org" for i in range(30)] + [f"s{i}.com" for i in range(6)] + [f"b{i}.net" for i in range(6)]
+    rows = []
+    for i in range(400):
+        h = rng.choice(hosts)
+        path = rng.choice(["/es/", "/fr/", "/x"]) if h.endswith(".net") else "/x"
+        near = hosts[:15] + hosts[30:36] if hosts.index(h) < 15 else hosts[15:30] + hosts[36:]
+        links = [f'<a href={rng.choice(["http://", "//", "HTTPS://"])}{rng.choice(near)}/p>x</a>' for _ in range(rng.randint(0, 4))]
+        html = "".join(links) + f"<!-- <a href=http://b0.net/>no</a> --><link rel=x href=//b1.net/><a href='/local'>l</a>"
+        rows.append((i, f"http://{h}{path}", rng.choice([html, html, None if i % 40 == 0 else html])))
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string").repartition(5)
+    margin = brute.blocked_hosts(rows, lambda h: h.endswith(".com"), lambda u: ".net/es/" in u or ".net/fr/" in u)
+    unsure = {h for h, m in margin.items() if abs(m) < 0.1 / len(margin)}
+    got = {r["host"]: r["blocked"] for r in urlfilter.judged_hosts(table).collect()}
+    assert got.keys() == margin.keys() and {h for h, b in got.items() if b} - unsure == {h for h, m in margin.items() if m > 0} - unsure
+    verdicts = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in urlfilter.judge(table).collect()}
+    assert len(verdicts) == len(rows)
+    for i, (host, rule, verdict) in verdicts.items():
+        assert rule or host in unsure or verdict == ("block" if margin.get(host, -1) > 0 else "allow")
+    assert any(v == "block" and not r for _, r, v in verdicts.values())
