@@ -3,19 +3,21 @@
 Sizes are aggregated per source, each source gets a target and from it a
 repetition rate, and every document is emitted ``floor(rate)`` times plus
 one hash-seeded Bernoulli copy with the fraction as its probability.
-Only one row per source ever leaves the scan; documents are not shuffled.
+One row per source and a hash per row leave the scan; documents are not
+shuffled, but for one of each run of equal rows.
 
 Defined cases: a null source is a source of its own and comes last; a null
 or blank text has size 0 and is emitted like any other document of its
-source (size-0 sources have rate 0); rows repeated with the same id and
-text share one draw; an empty table gives an empty mix.
+source (size-0 sources have rate 0); each of several equal rows draws for
+itself; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.plans.joins import join_keyed
+from corpusloom.llm.textcols import row_hash
+from corpusloom.plans.joins import join_keyed, split_by_keys
 from corpusloom.plans.ranking import global_rank
 from corpusloom.session import cut
 
@@ -24,15 +26,18 @@ CYCLE = (5, 2, 1)
 SHARE = 1.5
 CEILING = 2.0
 SEED = "mix-1"
+#: Equal rows that one task repeats at a time.
+PIECE = 20_000
 
 
 def word_count(text: Column, pattern: str = WORDS) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) with 48 bits, fixed by seed, id and text."""
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.crc32(F.coalesce(text, F.lit(""))).cast("string"))
+def draw(row_key: Column, nth: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) with 48 bits, fixed by seed, row and, of equal
+    rows, which one it is."""
+    key = F.concat_ws("|", F.lit(seed), row_key, nth)
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
@@ -69,12 +74,22 @@ def targets(sizes: DataFrame, *, cycle=CYCLE, share: float = SHARE, ceiling: flo
 def plan_mix(docs: DataFrame, *, pattern: str = WORDS, seed: str = SEED, **shares) -> DataFrame:
     """One row per document: the row itself as ``doc``, size, source_size,
     target (its source's) and copies, the times the mix emits it."""
-    text = F.col("text")
-    sized = docs.select(F.struct("*").alias("doc"), F.col("source"), word_count(text, pattern).alias("size"), draw(F.col("doc_id"), text, seed).alias("draw"))
-    sizes = docs.groupBy("source").agg(F.sum(word_count(text, pattern)).alias("source_size"))
-    joined = join_keyed(sized, targets(sizes, **shares), "source")
+    size = word_count(F.col("text"), pattern)
+    own = docs.select(F.struct("*").alias("doc"), F.col("source").alias("source"), size.alias("size"), row_hash(docs).alias("row_key"))
+    keys = cut(own.select("source", "size", "row_key"))
+    sizes = keys.groupBy("source").agg(F.sum("size").alias("source_size"))
+    again = cut(keys.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"))
+    numbered = own.withColumn("nth", F.lit(0).cast("long"))
+    if not again.isEmpty():
+        # Equal rows can stand for each other: one of them is repeated, and each repetition draws for itself.
+        equal, single = split_by_keys(own, again, ["row_key"])
+        one = equal.groupBy("row_key").agg(*[F.first(c).alias(c) for c in ("doc", "source", "size")], F.count(F.lit(1)).alias("n"))
+        pieces = one.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long")))).repartition("row_key", "at")
+        spread = pieces.withColumn("nth", F.explode(F.sequence("at", F.least(F.col("at") + PIECE, "n") - 1)))
+        numbered = single.withColumn("nth", F.lit(0).cast("long")).unionByName(spread.select("doc", "source", "size", "row_key", "nth"))
+    joined = join_keyed(numbered, targets(sizes, **shares), "source")
     whole = F.floor("rate")
-    copies = (whole + (F.col("draw") < F.col("rate") - whole).cast("long")).cast("long")
+    copies = (whole + (draw(F.col("row_key"), F.col("nth"), seed) < F.col("rate") - whole).cast("long")).cast("long")
     return joined.select("doc", "size", "source_size", "target", copies.alias("copies"))
 
 

@@ -33,8 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.llm.textcols import row_hash
+from corpusloom.plans.joins import join_counted, split_by_keys
 from corpusloom.session import cut
 
 SHINGLE = 3
@@ -216,49 +218,68 @@ def links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for every end of an edge: root is the same throughout a
-    component.  Labels spread to neighbours and jump along pointers."""
+    component.  Labels spread to neighbours and jump along pointers.  The
+    hub of a star and the root of a giant component are hot keys, so both
+    joins go by counts."""
     both = cut(edges.union(edges.select("b", "a")).distinct())
-    state = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
+    state = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root"), "n"))
     if state.isEmpty():
-        return state
+        return state.select("fp", "root")
     while True:
-        near = both.join(state, both["b"] == state["fp"]).groupBy("a").agg(F.min("root").alias("seen"))
-        near = cut(near)
-        spread = state.join(near, state["fp"] == near["a"]).select("fp", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
-        spread = cut(spread)
-        roots = spread.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-        jumped = cut(spread.join(roots, spread["root"] == roots["_fp"], "left").select("fp", "old", F.least("root", F.coalesce("_root", "root")).alias("root")))
+        near = join_counted(both, state.withColumnRenamed("fp", "b"), "b", "n").groupBy("a").agg(F.min("root").alias("seen"))
+        spread = cut(state.join(near, state["fp"] == near["a"]).select("fp", "n", F.col("root").alias("old"), F.least("root", "seen").alias("root")))
+        under = spread.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
+        ups = cut(spread.select(F.col("fp").alias("root"), F.col("root").alias("up")).join(under, "root"))
+        jumped = cut(join_counted(spread, ups, "root", "k").select("fp", "n", "old", F.least("root", "up").alias("root")))
         changed = not jumped.where("old <> root").isEmpty()
-        state = jumped.select("fp", "root")
+        state = jumped.select("fp", "root", "n")
         if not changed:
-            return state
+            return state.select("fp", "root")
+
+
+def marked(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, text_key, fp) of every document: all that is needed of it."""
+    return cut(docs.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint_udf(width, seed)(F.col("text")).alias("fp")))
+
+
+def named(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(fp, n, component_id, first): for each fingerprint of the ``marked``
+    rows how many have it, and of its component the smallest id and the
+    first (none, doc_id, text_key), ids before nulls."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    counted = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min(first).alias("first")))
+    linked = cut(components(links(counted.select("fp"), budget)).join(counted, "fp"))
+    tops = cut(linked.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("_least"), F.min("first").alias("_first")))
+    of = join_counted(linked.select("fp", "root"), tops, "root", "k").select("fp", "_least", "_first", F.lit(True).alias("_linked"))
+    own = counted.join(of, "fp", "left")
+    return cut(own.select("fp", "n", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("least")).alias("component_id"), F.coalesce("_first", "first").alias("first")))
 
 
 def clusters(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id): one row per document."""
-    marked = cut(docs.select("doc_id", fingerprint_udf(width, seed)(F.col("text")).alias("fp")))
-    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(least.select("fp"), budget))
-    rooted = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    tops = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = cut(rooted.join(tops, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with its
-    smallest id.  Rows that repeat both id and text count as one document;
-    rows without an id cannot be named by a component and all stay."""
-    groups = clusters(docs, **options)
-    kept = cut(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("n")))
-    named = kept.select("_kept")
-    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"))
-    # The kept ids grow with the corpus, so they are not broadcast; hashing them spares a sort of the texts.
-    out = own.where("_id IS NOT NULL").join(named.hint("shuffle_hash"), F.col("_id") == F.col("_kept"), "left_semi")
-    out = out.union(own.where("_id IS NULL")).select("doc.*")
-    if kept.where("n > 1").isEmpty():
-        return out
-    once = Window.partitionBy("_id", "_text").orderBy("_row")
-    key = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
-    return out.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), key.alias("_row")).withColumn("_nth", F.row_number().over(once)).where("_nth = 1 OR _id IS NULL").select("doc.*")
+    rows = marked(docs, width, seed)
+    return join_counted(rows, named(rows, budget), "fp", "n").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest
+    id, of equal ids that with the smallest text hash, without any id only
+    if none has one.  Of rows that repeat its id and text one stays.
+
+    No text is shuffled but those of repeated rows: what goes is named by
+    id and text hash, and the documents are filtered where they are.
+    """
+    rows = marked(docs, width, seed)
+    placed = join_counted(rows, named(rows, budget), "fp", "n")
+    one = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_key").eqNullSafe(F.col("first.text_key"))
+    judged = cut(placed.groupBy("doc_id", "text_key").agg(F.first(one).alias("one"), F.count(F.lit(1)).alias("n")).where("NOT one OR n > 1"))
+    gone, again = judged.where("NOT one").select("doc_id", "text_key"), judged.where("one").select("doc_id", "text_key")
+    own = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64("text").alias("text_key"))
+    on = ["doc_id", "text_key"]
+    _, left = split_by_keys(own, gone, on)
+    if again.isEmpty():
+        return left.select("doc.*")
+    repeated, left = split_by_keys(left, again, on)
+    order = row_hash(docs, "doc")
+    best = repeated.groupBy(*on).agg(F.min_by("doc", order).alias("doc"))
+    return left.select("doc.*").unionByName(best.select("doc.*"))

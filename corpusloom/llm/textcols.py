@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -24,3 +24,13 @@ def removed(text: Column, pattern: str) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters keep their case.  Costly: for small inputs."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def row_hash(df: DataFrame, of: str = "") -> Column:
+    """A hash over all columns of ``df``, or of its rows kept as the struct
+    ``of``; a null is not the same as an absent value."""
+    parts = []
+    for c, kind in df.dtypes:
+        col = F.col(f"{of}.`{c}`" if of else f"`{c}`")
+        parts += [F.to_json(F.struct(col.alias("c"))) if kind.startswith(("map", "variant")) else col, col.isNull()]
+    return F.xxhash64(*parts)

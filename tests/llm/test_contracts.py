@@ -82,6 +82,16 @@ def test_mix(spark, awkward, docs, empty):
     assert mixing.plan_mix(empty).count() == 0
 
 
+def test_equal_rows_draw_for_themselves(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 64)
+    rows = [(1, "one two three four", "a")] * 3000 + [(i, "a b", "b") for i in range(10, 2000)]
+    got = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).select("doc.*", "target", (F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(rows)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) / own[0]["target"] - 1) < 0.06
+
+
 def test_mix_beyond_broadcast(docs, monkeypatch):
     small = sorted(map(str, mixing.plan_mix(docs).select("doc.doc_id", "copies").collect()))
     monkeypatch.setattr("corpusloom.plans.joins.within", lambda *a: False)
@@ -115,6 +125,20 @@ def test_shards_split_a_hot_text(spark):
     assert len(sizes) == 10 and max(sizes) - min(sizes) < 0.02 * max(sizes)
 
 
+@pytest.mark.parametrize("n_equal, n_other", [(3000, 1000), (5000, 0), (7, 2000)])
+def test_shards_part_equal_rows(spark, monkeypatch, n_equal, n_other):
+    monkeypatch.setattr(sharding, "PIECE", 100)
+    rows = [(None, "the same text " * 5)] * n_equal + [(i, f"text {i} " * 8) for i in range(n_other)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc.*", "size", "shard", "slot").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(a), b) for a, b in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert len(by) == 40 and all(sorted(r["slot"] for r in own) == list(range(len(own))) for own in by.values())
+    sizes = [sum(r["size"] for r in own) for own in by.values()]
+    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got) + 0.01 * max(sizes)
+
+
 def check_contamination(table, items):
     want_items = [tuple(r) for r in items.select("item_id", "text").collect()]
     texts = {}
