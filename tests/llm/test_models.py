@@ -1,11 +1,14 @@
 """The trained operators: held-out accuracy and defined cases."""
 
 import random
+import re
+import textwrap
 import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import htmltext, licenses, toxicity, urlfilter
 from corpusloom.llm.queries import QUERIES
@@ -159,6 +162,67 @@ def test_licenses_of_wrapped_texts_names_and_tags(spark):
     assert {r[0]: r[2] for r in got if r[2]} == {BSD3: ["Copyright"]}
 
 
+def test_licenses_by_name(spark):
+    rows = {
+        "MIT License or the GNU General Public License version 2.0, see chapter 3": ["MIT", "GPL-2.0"],
+        "It is not licensed under the Apache License 2.0, ask for the EUPL v1.2 instead": ["EUPL-1.2"],
+        "Dedicated under CC0 1.0.": ["CC0"],
+        "Shared as CC BY 4.0.": ["CC-BY"],
+        "Creative Commons Attribution 4.0 International.": ["CC-BY"],
+        "Available under GPLv3, the Artistic License 2.0 or (at your option) the BSD 3-Clause License": ["GPL-3.0", "Artistic-2.0", "BSD-3-Clause"],
+        "Fonts: SIL Open Font License. Code: zlib License.": ["OFL-1.1", "Zlib"],
+        "dual-licensed under Apache-2.0 and MIT": ["Apache-2.0", "MIT"],
+        "LGPL-2.1+": ["LGPL-2.1-or-later"],
+        "Ich komme mit dem Zug und mit dir.": [],
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc.text", "licenses", "unmatched").collect()
+    assert {r[0]: r[1] for r in got} == rows and not any(r[2] for r in got)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in it without restriction.
+
+The above copyright notice and this permission notice shall be included in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law, software distributed under the License is distributed on an "AS IS" BASIS."""
+PARTS = [
+    (MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (BSD3.partition("\n\n")[2], ["BSD-3-Clause"]), (GPL % (";", ";", 2), ["GPL-2.0-or-later"]), (GPL % (":", ",", 3), ["GPL-3.0-or-later"]),
+    ("Released under the MIT License.", ["MIT"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC"]), ("SPDX-License-Identifier: MPL-2.0", ["MPL-2.0"]), ("All rights reserved.", ["Proprietary"]),
+]
+
+
+def test_licenses_of_texts_put_together(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    filler = lambda: " ".join(word() for _ in range(rng.randint(5, 60))) + "."
+
+    def wrapped(text, width, mark):
+        paragraphs = [textwrap.fill(" ".join(p.replace("# ", " ").replace("#", " ").split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n#?\s*\n", text)]
+        return "\n".join(mark + line for line in "\n\n".join(paragraphs).split("\n"))
+
+    rows, truth = [], {}
+    for i in range(250):
+        parts, want, last = [filler()], [], ""
+        for _ in range(rng.randint(0, 4)):
+            text, names = rng.choice(PARTS)
+            mark = rng.choice(["", "# ", "// ", " * "])
+            parts += [wrapped(text, rng.choice([50, 72, 100]) if "SPDX" not in text else 200, mark), filler()]
+            # a licence's name right before its text is one with it
+            want += names if not (text == MIT and last.startswith("Released")) else []
+            last = text
+        rows.append((i, "\n\n".join(parts), "clash"))
+        truth[i] = want
+    rows += [(900, None, "clash"), (901, "", None), (901, "", None), (902, "under the same terms " * 60_000 + "Released under the MIT License.", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, licenses string").repartition(4)
+    got = licenses.scan(table).select("doc.doc_id", F.col("licenses").alias("found"), "unmatched").collect()
+    assert len(got) == len(rows)
+    assert {r[0]: r[1] for r in got} == truth | {900: [], 901: [], 902: ["MIT"]}
+    assert licenses.scan(table.limit(0)).count() == 0
+
+
 def test_urls(spark):
     def page(i, url, *links):
         return i, url, "".join(f'<a href="{x}">x</a>' for x in links)
