@@ -133,10 +133,11 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("hit_items")).limit(0)
-    grouped = hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("found")).alias("found")).where(F.size("found") > 0)
-    spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["length"].alias("length")))))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))))
-    return grouped.select("doc_id", "text_key", union_length(spans).alias("n_hit"), names.alias("hit_items"))
+    # Sets, so that rows which repeat a document add nothing before they meet;
+    # outer, as an inner explode would put its filter into the join.
+    single = hits.select("doc_id", "text_key", F.explode_outer("found").alias("x")).select("doc_id", "text_key", F.when(F.col("x").isNotNull(), F.struct("x.s", "x.length")).alias("span"), F.explode_outer("x.items").alias("item"))
+    grouped = single.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"), F.collect_set("item").alias("items")).where(F.size("spans") > 0)
+    return grouped.select("doc_id", "text_key", union_length(F.array_sort("spans")).alias("n_hit"), F.array_sort("items").alias("hit_items"))
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
