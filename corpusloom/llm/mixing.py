@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.textcols import row_hash
+from corpusloom.llm.textcols import row_digest
 from corpusloom.plans.joins import join_keyed, split_by_keys
 from corpusloom.plans.ranking import global_rank
 from corpusloom.session import cut
@@ -75,7 +75,7 @@ def plan_mix(docs: DataFrame, *, pattern: str = WORDS, seed: str = SEED, **share
     """One row per document: the row itself as ``doc``, size, source_size,
     target (its source's) and copies, the times the mix emits it."""
     size = word_count(F.col("text"), pattern)
-    own = docs.select(F.struct("*").alias("doc"), F.col("source").alias("source"), size.alias("size"), row_hash(docs).alias("row_key"))
+    own = docs.select(F.struct("*").alias("doc"), F.col("source").alias("source"), size.alias("size"), row_digest(docs).alias("row_key"))
     keys = cut(own.select("source", "size", "row_key"))
     sizes = keys.groupBy("source").agg(F.sum("size").alias("source_size"))
     again = cut(keys.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"))

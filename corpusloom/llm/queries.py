@@ -67,13 +67,41 @@ def op10_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *base, F.sha2(pii.listed(pii.BASE), 256).alias("base_sha256"), pii.listed(every).alias("spans"), *added, pii.listed(every, score=True).alias("scores"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the path rules alone say of each page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+    rule, verdict = urlfilter.by_rules(F.col("host"), F.col("path"))
+    return pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds of personal data alone."""
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), kinds=pii.BASE)
+    return found.select("doc.doc_id", *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.BASE], pii.listed(pii.BASE).alias("spans"))
+
+
+def shard_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the shards, whatever the order inside: one row."""
+    placed = op3_shard_documents(spark, sf_dir)
+    per = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("slots"), F.max("size").alias("largest"), F.sum("doc_id").alias("ids"))
+    gapless = F.bool_and((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n")))
+    mean, largest = F.sum("bytes") / sharding.SHARDS, F.max("largest")
+    even = (F.max("bytes") - mean <= largest + 0.01 * mean) & (mean - F.min("bytes") <= largest + 0.01 * mean)
+    return per.agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("n_bytes"), F.sum("ids").alias("sum_ids"), gapless.alias("gapless"), even.alias("even"))
+
+
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy and rule: documents that fail it, and that only it rejects."""
+    return rules.ablation(rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_licenses, op3_shard_documents, op4_filter_urls, op5_decontaminate, op6_extract_text, op7_score_toxicity, op8_apply_rules, op9_link_near_copies, op10_find_personal_data, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_licenses, op3_shard_documents, op4_filter_urls, op5_decontaminate, op6_extract_text, op7_score_toxicity, op8_apply_rules, op9_link_near_copies, op10_find_personal_data, url_rules, pii_base, shard_checks, rule_ablation, pipeline)}
 
 
 def queries() -> dict:

@@ -6,9 +6,10 @@ the mask of rules it enforces, so new policies and ablations are bitwise
 work on the ledger and never read a text again.
 
 Defined cases: null text counts as empty; an empty text fails
-``too_short`` and ``no_stop_letters`` nothing else; very long lines and
-texts are measured whole; extra columns are untouched; an empty table
-gives an empty ledger.
+``too_short`` and nothing else; very long lines and texts are measured
+whole; the row itself stays as ``doc``, so its other columns may have any
+names; rows that are repeated have a line in the ledger each; an empty
+table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ POLICIES = {
     "base-1": ("too_short", "repeated_windows"),
     "web-1": ("too_short", "repeated_windows", "symbols", "duplicate_lines", "long_words", "short_words", "few_letters"),
     "web-2": ("too_short", "repeated_windows", "symbols", "duplicate_lines", "long_words", "short_words", "few_letters", "shouting"),
+    "web-3": ("too_short", "repeated_windows", "symbols", "duplicate_lines", "long_words", "short_words", "few_letters", "shouting", "too_long"),
 }
-PRODUCTION = "web-2"
+PRODUCTION = "web-3"
 
 
 def mask(*names: str, rules=RULES) -> int:
