@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the stages
 can be run in one plan (``run``) or with every result written and read
 again.  All but the last return the columns of ``documents``.
+
+Defined cases, for every stage: a null text counts as empty, and empty
+texts are clean of toxicity and of benchmarks, near copies of each other,
+and of size 0 in the mixture; a null id or source is a value like any other
+and, of near copies, a row with an id stays before one without; rows that
+are repeated are judged one by one, but as near copies only one of them
+stays; very long texts are read whole; an empty table, and empty labels or
+benchmark, are allowed; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
