@@ -210,9 +210,9 @@ def script_rate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.round(metrics.script_rate(F.col("text")), 6).alias("script_rate"))
 
 
-@register(f"SELECT round(avg(CASE WHEN {SCRIPT} BETWEEN 0 AND 0.01 THEN 1.0 ELSE 0.0 END), 6) AS language_integrity FROM documents")
+@register(f"SELECT round(avg(CAST({SCRIPT} AS DOUBLE)), 6) AS mean_script_rate, avg(CAST({SCRIPT} AS DOUBLE)) BETWEEN 0 AND 0.01 AS language_integrity FROM documents")
 def language_integrity(spark, sf_dir):
-    return metrics.language_integrity(read(spark, sf_dir, "documents"), 0.0, 0.01).withColumn("language_integrity", F.round("language_integrity", 6))
+    return metrics.language_integrity(read(spark, sf_dir, "documents"), 0.0, 0.01).withColumn("mean_script_rate", F.round("mean_script_rate", 6))
 
 
 STARTS = f"""ss AS (SELECT doc_id, unnest({sents('text')}) AS x, generate_subscripts({sents('text')}, 1) AS i FROM documents), sf AS (SELECT doc_id, i, {toks('x')}[1] AS w FROM ss), sk AS (SELECT * FROM sf WHERE w IS NOT NULL),
@@ -262,12 +262,15 @@ def calibration_quantiles(spark, sf_dir):
 
 
 def fact_pairs(spark, sf_dir) -> DataFrame:
-    """Document i with the sentences of benchmark item i mod 40 as facts."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", T.sentences(F.col("text")).alias("facts"))
-    return read(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(40)).alias("item_id")).join(b, "item_id")
+    """Every document with the sentences of one benchmark item as facts: the
+    i-th document by id gets item i modulo the number of items."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), "text")
+    paired = evaluation.modulo_pairs(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("own")), items)
+    return paired.select(F.col("pos").alias("doc_id"), F.col("own").alias("text"), T.sentences(F.col("human")).alias("facts"))
 
 
-FACTS = f"""fp AS (SELECT doc_id, text, {sents('b.text')} AS facts FROM documents d JOIN (SELECT item_id, text AS text FROM benchmark) b ON d.doc_id % 40 = b.item_id)""".replace("SELECT doc_id, text,", "SELECT d.doc_id, d.text,")
+FACTS = f"""nb AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark), nd AS (SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id) - 1) % (SELECT count(*) FROM benchmark) AS i FROM documents),
+ fp AS (SELECT nd.doc_id, nd.text, {sents('nb.text')} AS facts FROM nd JOIN nb USING (i))"""
 OVER = lambda s, t: f"CASE WHEN len(list_distinct({s})) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct({s}), {t})) / len(list_distinct({s})) END"
 
 
@@ -301,7 +304,8 @@ def mmd_rbf(spark, sf_dir):
 
 @register()
 def human_floor_mmd(spark, sf_dir):
-    return evaluation.human_floor(sides(spark, sf_dir)[0])
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
+    return evaluation.human_floor(e)
 
 
 def turns(spark, sf_dir) -> DataFrame:
@@ -314,26 +318,35 @@ def turns(spark, sf_dir) -> DataFrame:
 TURNS = "tp AS (SELECT a.conv_id, a.turn, u.text AS prompt, a.text AS answer FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn + 1 = a.turn WHERE a.role = 'assistant' AND u.role = 'user')"
 
 
-@register(f"WITH {TURNS} SELECT conv_id, turn, CAST('0x' || substr(sha256(concat_ws(chr(1), prompt, answer, answer || '!')), 1, 2) AS BIGINT) % 2 = 1 AS swapped FROM tp")
+FIRST_BYTE = "CAST('0x' || substr(sha256(encode(prompt) || '\\x00'::BLOB || encode(answer) || '\\x00'::BLOB || encode(answer || '!')), 1, 2) AS BIGINT)"
+
+
+@register(f"WITH {TURNS} SELECT conv_id, turn, {FIRST_BYTE} % 2 = 0 AS swapped FROM tp")
 def pairwise_order(spark, sf_dir):
-    digest = F.sha2(F.concat_ws("\x01", "prompt", "answer", F.concat("answer", F.lit("!"))), 256)
-    return turns(spark, sf_dir).select("conv_id", "turn", (T.hex_int(digest, 2) % 2 == 1).alias("swapped"))
+    """An odd first byte puts the generated text first, an even one the human."""
+    order = evaluation.swapped(F.col("prompt"), F.col("answer"), F.concat("answer", F.lit("!")))
+    return turns(spark, sf_dir).select("conv_id", "turn", order.alias("swapped"))
+
+
+SIDES = "lt AS (SELECT doc_id, text, quality FROM documents JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id)), hs AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM lt WHERE quality = 1), gs AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM lt WHERE quality = 0)"
 
 
-@register("WITH h AS (SELECT doc_id AS pos, text FROM documents WHERE doc_id < 37), g AS (SELECT doc_id AS pos FROM documents) SELECT g.pos, length(h.text) AS n FROM g JOIN h ON g.pos % (SELECT count(*) FROM h) = h.pos")
+@register(f"WITH {SIDES} SELECT gs.doc_id AS pos, length(hs.text) AS n FROM gs JOIN hs ON gs.i % (SELECT count(*) FROM hs) = hs.i")
 def modulo_pairing(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return evaluation.modulo_pairs(d.select("pos"), d.where("pos < 37")).select("pos", F.length("human").cast("long").alias("n"))
+    """All generated texts against all human ones."""
+    human, made = (labelled(spark, sf_dir, q).withColumnRenamed("doc_id", "pos") for q in (1, 0))
+    return evaluation.modulo_pairs(made.select("pos"), human).select("pos", F.length("human").cast("long").alias("n"))
 
 
 @register(
-    f"""WITH {TURNS}, j AS (SELECT CAST('0x' || substr(sha256(prompt), 1, 2) AS BIGINT) % 2 = 1 AS swapped, CASE WHEN length(answer) % 10 = 0 THEN 'TIE' WHEN length(answer) % 2 = 0 THEN 'A' ELSE 'B' END AS won FROM tp)
- SELECT round(avg(CASE WHEN won = 'TIE' THEN 0.5 WHEN won = CASE WHEN swapped THEN 'B' ELSE 'A' END THEN 1.0 ELSE 0.0 END), 6) AS preference, round(2 * avg(CASE WHEN won = 'TIE' THEN 0.5 WHEN won = CASE WHEN swapped THEN 'B' ELSE 'A' END THEN 1.0 ELSE 0.0 END), 6) AS jmq FROM j"""
+    f"""WITH {TURNS}, j AS (SELECT {FIRST_BYTE} % 2 = 1 AS made_first, CASE WHEN length(answer) % 10 = 0 THEN 'TIE' WHEN length(answer) % 10 = 3 THEN 'A' WHEN length(answer) % 2 = 0 THEN 'A' ELSE 'B' END AS won FROM tp),
+ p AS (SELECT avg(CASE WHEN won = 'TIE' THEN 0.5 WHEN (won = 'A') = made_first THEN 1.0 ELSE 0.0 END) AS p FROM j) SELECT round(p, 6) AS preference, round(2 * p, 6) AS jmq FROM p"""
 )
 def preference_jmq(spark, sf_dir):
     n = F.length("answer")
-    said = F.when(n % 10 == 0, '{"winner": "tie"}').when(n % 2 == 0, "the winner is a").otherwise("B.")
-    judged = turns(spark, sf_dir).select((T.hex_int(F.sha2("prompt", 256), 2) % 2 == 1).alias("swapped"), evaluation.winner(said).alias("won"))
+    said = F.when(n % 10 == 0, '{"winner": "tie"}').when(n % 10 == 3, '{"choice": 0.75}').when(n % 2 == 0, "the winner is a").otherwise("B.")
+    order = evaluation.swapped(F.col("prompt"), F.col("answer"), F.concat("answer", F.lit("!")))
+    judged = turns(spark, sf_dir).select(order.alias("swapped"), evaluation.winner(said).alias("won"))
     return evaluation.preference(judged).select(F.round("preference", 6).alias("preference"), F.round("jmq", 6).alias("jmq"))
 
 

@@ -75,6 +75,30 @@ def month(ts: Column) -> Column:
     return F.date_format(F.timestamp_seconds(F.when(F.coalesce(ts, F.lit(0.0)) == 0, F.unix_timestamp().cast("double")).otherwise(ts)), "yyyy-MM")
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    d = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.greatest(F.lit(0.0), F.aggregate(d, F.lit(0.0), lambda s, x: s + x))
+def occurrences(text: Column, part: str) -> Column:
+    """How often ``part`` occurs, counted without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+
+def unfenced(content: Column) -> Column:
+    """What a fenced code block holds; any other content as it is, trimmed."""
+    plain = strip(content)
+    return F.when(F.startswith(plain, F.lit("```")), F.regexp_replace(F.regexp_replace(plain, r"(?s)\A[^\n]*\n", ""), r"(?s)```(?!.*```).*\z", "")).otherwise(plain)
+
+
+def missing_keys(content: Column, required: list[str]) -> Column:
+    """The ``required`` keys that a JSON object lacks, in order; null if the
+    content is no object."""
+    keys = F.json_object_keys(content)
+    return F.when(keys.isNotNull(), F.array_sort(F.array_except(F.array(*[F.lit(k) for k in required]), keys)))
+
+
+def same_keys(content: Column, wanted: list[str]) -> Column:
+    """Whether a JSON object has exactly the ``wanted`` keys."""
+    keys = F.json_object_keys(content)
+    return F.coalesce((F.size(F.array_except(keys, F.array(*[F.lit(k) for k in wanted]))) == 0) & (F.size(missing_keys(content, wanted)) == 0), F.lit(False))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share as a percentage from 0 to 100; 0 of nothing."""
+    return F.when(F.coalesce(whole, F.lit(0.0)) <= 0, F.lit(0.0)).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 * part / whole)))

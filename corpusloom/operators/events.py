@@ -71,17 +71,22 @@ def has_capacity(remaining: Column, wanted: Column) -> Column:
     return remaining >= wanted
 
 
+def begun(now: Column) -> Column:
+    """When a run started; none and 0 mean now."""
+    return F.coalesce(F.nullif(F.col("started_at"), F.lit(0.0)), now)
+
+
 def pro_rated(now: Column) -> Column:
     """Reserved money by elapsed share of the timeout, at most all of it."""
-    reserved, elapsed = F.coalesce("reserved_cost_usd", F.lit(0.0)), F.greatest(F.lit(0.0), now - F.coalesce("started_at", now))
+    reserved, elapsed = F.coalesce("reserved_cost_usd", F.lit(0.0)), F.greatest(F.lit(0.0), now - begun(now))
     return F.least(reserved, reserved * elapsed / F.greatest(F.lit(1.0), F.coalesce(F.col("timeout_seconds").cast("double"), F.lit(1.0))))
 
 
 def accrued(events: DataFrame, now: float) -> DataFrame:
     """All GPU money spent so far, whatever the month."""
     state = snapshots(events, ["status", "actual_cost_usd", "reserved_cost_usd", "started_at", "timeout_seconds"])
-    cost = F.when(F.col("status").isin(*TERMINAL), F.coalesce("actual_cost_usd", F.lit(0.0))).when(F.col("started_at").isNotNull(), pro_rated(F.lit(now))).otherwise(0.0)
-    return state.agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("accrued_usd"))
+    cost = F.when(F.col("status").isin(*TERMINAL), F.coalesce("actual_cost_usd", F.lit(0.0))).otherwise(pro_rated(F.lit(now)))
+    return state.agg(F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("accrued_usd"))
 
 
 def reap(events: DataFrame, now: float) -> DataFrame:
@@ -91,7 +96,7 @@ def reap(events: DataFrame, now: float) -> DataFrame:
     for name, seconds in CLASS_SECONDS.items():
         limit = F.when(F.col("budget_class") == name, seconds).otherwise(limit)
     spent = F.broadcast(accrued(events, now))  # one row
-    late = F.coalesce(F.lit(now) - F.coalesce("started_at", F.lit(now)) > limit, F.lit(False))
+    late = F.coalesce(F.lit(now) - begun(F.lit(now)) > limit, F.lit(False))
     reason = F.when(late, "wall_clock").when(F.col("accrued_usd") >= GPU_CAP, "global_cap")
     rows = state.join(spent, F.lit(True)).withColumn("reaper_reason", reason).where("reaper_reason IS NOT NULL")
     return rows.select(F.lit("run_update").alias("kind"), "run_id", F.lit("reaped").alias("status"), "reaper_reason", F.lit(now).alias("finished_at"), F.round(pro_rated(F.lit(now)), 6).alias("actual_cost_usd"))
@@ -130,3 +135,39 @@ def tail(lines: DataFrame, n: int) -> DataFrame:
     if not 1 <= n <= 5000:
         raise ValueError("tail is between 1 and 5000")
     return lines.orderBy(F.col("pos").desc()).limit(n)
+
+
+#: What may follow a state; a run begins in the first.
+NEXT = {"reserved": ("running", *TERMINAL), "running": TERMINAL}
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """(run_id, seq, before, status, legal): every event that names a state.
+    A run starts as reserved or running, may repeat its state, and never
+    leaves a terminal one."""
+    own = Window.partitionBy("run_id").orderBy("seq")
+    named = events.where(F.col("run_id").isNotNull() & F.col("status").isNotNull()).select("run_id", "seq", "status")
+    before = F.lag("status").over(own)
+    legal = F.when(F.col("before").isNull(), F.col("status").isin(*LIVE)).when(F.col("before") == F.col("status"), True)
+    for state, after in NEXT.items():
+        legal = legal.when(F.col("before") == state, F.col("status").isin(*after))
+    return named.withColumn("before", before).withColumn("legal", F.coalesce(legal.otherwise(False), F.lit(False)))
+
+
+def micro_batches(rows: DataFrame, size: int, group: list[str] | None = None) -> DataFrame:
+    """Adds batch: rows in the order of ``pos``, ``size`` to a batch."""
+    if size < 1:
+        raise ValueError("a batch has one row at least")
+    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("pos")
+    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+
+
+def run_ids(events: DataFrame) -> DataFrame:
+    """The distinct runs, sorted."""
+    return events.where(F.coalesce("run_id", F.lit("")) != "").select("run_id").distinct().orderBy("run_id")
+
+
+def capacity(events: DataFrame, month_: str, gpu: float, api: float) -> DataFrame:
+    """One row: whether a month has room for so much GPU and API money."""
+    left = budget(events).where(F.col("month") == month_).agg(F.coalesce(F.max("gpu_remaining_usd"), F.lit(GPU_CAP)).alias("g"), F.coalesce(F.max("api_remaining_usd"), F.lit(API_CAP)).alias("a"))
+    return left.select(has_capacity(F.col("g"), F.lit(gpu)).alias("gpu_ok"), has_capacity(F.col("a"), F.lit(api)).alias("api_ok"))

@@ -125,8 +125,9 @@ def script_rate(text: Column) -> Column:
 
 
 def language_integrity(docs: DataFrame, low: float | None, high: float | None) -> DataFrame:
-    kept = in_range(script_rate(F.coalesce("text", F.lit(""))), F.lit(low).cast("double"), F.lit(high).cast("double"))
-    return docs.agg(F.avg(kept.cast("double")).alias("language_integrity"))
+    """One row: the mean share of other scripts, and whether it is in range."""
+    mean = docs.agg(F.avg(script_rate(F.coalesce("text", F.lit("")))).alias("mean_script_rate"))
+    return mean.withColumn("language_integrity", in_range(F.col("mean_script_rate"), F.lit(low).cast("double"), F.lit(high).cast("double")))
 
 
 def repeated_start(text: Column, run: int = 3) -> Column:

@@ -97,8 +97,32 @@ def test_preference_and_auc(spark):
     scores = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1), (0, 0.2)], "label int, score double")
     assert evaluation.auc(scores).first()[0] == 1.0 and tuple(evaluation.auc_interval(scores, 50).first()) == (1.0, 1.0)
     assert tuple(evaluation.auc_interval(scores.where("score > 0.1")).first())[0] <= 1.0
-    said = {"A": "A", '{"winner": "tie"}': "TIE", "0.7": "A", "0.5": "TIE", "I pick b": "B"}
-    assert all(value(spark, evaluation.winner(F.lit(s))) == w for s, w in said.items())
+    said = {
+        "A": "A", " tie ": "TIE", "I pick b": "B", "The winner is A, not B": "A", "0.7": None, "banana": None, "": None, "{broken": None, "[1]": None,
+        '{"winner": "tie"}': "TIE", '{"winner": 0.7}': "A", '{"choice": 0.5}': "TIE", '{"choice": 0}': "B", '{"winner": true}': "A", '{"winner": null, "choice": "A"}': None, '{"winner": "B", "choice": "A"}': "B", '{"other": "A"}': None,
+    }
+    got = spark.createDataFrame([(s,) for s in said], "s string").select("s", evaluation.winner(F.col("s"))).collect()
+    assert {r[0]: r[1] for r in got} == said
+    for bad in (rows.limit(0), rows.withColumn("won", F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match="judge"):
+            evaluation.preference(bad).collect()
+
+
+def test_an_odd_first_byte_shows_the_generated_text_first(spark):
+    import hashlib
+
+    rows = [(f"p{i}", f"g{i}", f"h{i}") for i in range(20)]
+    odd = {r[0]: hashlib.sha256("\0".join(r).encode()).digest()[0] % 2 == 1 for r in rows}
+    pairs = spark.createDataFrame(rows, "prompt string, generated string, human string")
+    got = pairs.select("prompt", evaluation.swapped(F.col("prompt"), F.col("generated"), F.col("human"))).collect()
+    assert {r[0]: not r[1] for r in got} == odd
+    # a judge that always prefers generated texts gives 1, whatever the order
+    from corpusloom.operators import surfaces
+
+    judged = surfaces.judged(pairs, lambda prompt, candidate_a, candidate_b: "A" if candidate_a.startswith("g") else "B")
+    assert evaluation.preference(judged.select("swapped", evaluation.winner(F.col("said")).alias("won"))).first()["preference"] == 1.0
+    tied = surfaces.judged(pairs, lambda prompt, a, b: {"winner": 0.5})
+    assert evaluation.preference(tied.select("swapped", evaluation.winner(F.col("said")).alias("won"))).first()["jmq"] == 1.0
 
 
 def log(spark, rows):
