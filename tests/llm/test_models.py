@@ -50,7 +50,63 @@ def test_insults_after_the_first_window():
     learnt, fresh = [(text("nincompoop" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)], [(text("nincompoop" if i % 4 == 0 else ""), i % 4 == 0) for i in range(200)]
     model = toxicity.fit(*map(list, zip(*learnt)))
     assert ((model.score([t for t, _ in fresh]) >= 0.5) == np.array([x for _, x in fresh])).mean() > 0.97
-    assert "nincompoop" in "".join(toxicity.readings("galumeti.sofarolibi,n-i-n-c-o-m-p-o-o-p")[-2:])
+
+
+def test_a_spelt_insult_late_in_a_token():
+    model = toxicity.fit(*corpus(400, 1))
+    late = ["ga lu " + "ga-lu-me-ti-" * n + "b-l-o-c-k-h-e-a-d so" for n in (0, 2, 50)] + ["ga lu n.i.n.c.o.m.p.o.o.p me"]
+    assert (model.score(late) >= 0.5).all() and (model.score(["ga-lu-me-ti-" * 50, "a-b-c-d-e-f-g"]) < 0.5).all()
+
+
+def test_insults_of_several_words():
+    rng = random.Random(6)
+    word = lambda: rng.choice(["gone", "fish", "you", "are", "a", "rat", "sleepy", "of", "the", "yard"]) if rng.random() < 0.5 else "".join(rng.choice("bcdfglm") + rng.choice("aeiou") for _ in range(2))
+
+    def text(bad):
+        words = [word() for _ in range(rng.randint(20, 40))]
+        words = [w for a, b in zip(words, [*words[1:], ""]) for w in [a] if (a, b) != ("sleepy", "rat")]
+        if bad:
+            words.insert(rng.randrange(len(words)), "sleepy rat")
+        return " ".join(words)
+
+    learnt, fresh = ([(text(i % 3 == 0), int(i % 3 == 0)) for i in range(n)] for n in (450, 200))
+    model = toxicity.fit(*map(list, zip(*learnt)))
+    assert ((model.score([t for t, _ in fresh]) >= 0.5) == np.array([x == 1 for _, x in fresh])).mean() > 0.9
+
+
+def brute_margins(model, code):
+    """The margin of a string by its definition, triple by triple."""
+    n, total, norm = len(code), 0.0, 0.0
+    for p in range(n):
+        for b in range(2, toxicity.SPAN):
+            for a in range(1, b):
+                if p + b < n:
+                    w = toxicity.DECAY ** (b + 1)
+                    total += w * model.weights[(code[p] * 64 + code[p + a]) * 64 + code[p + b]]
+                    norm += w * w
+    return total / np.sqrt(max(norm, 1e-12)) + model.bias
+
+
+def test_running_sums_give_the_kernel_of_every_string():
+    model = toxicity.fit(*corpus(200, 1))
+    read = toxicity.Reading("Ga lu, blockhead! Me ti b-l-o-c-k a.b c 你好" + "好" * 40 + " fin")
+    strings = [read.string(k) for k in range(len(read.first))]
+    assert np.allclose(model.margins(read), [brute_margins(model, s) for s in strings], atol=1e-4)
+    assert len(strings) == len(set(zip(read.first, read.last))) and max(map(len, strings)) <= toxicity.REACH
+
+
+def test_scores_of_awkward_tables(spark):
+    texts, labels = corpus(300, 9)
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s")] * 5 + [(1, "another text", "s"), (None, "blockhead", "s"), (900, None, "s"), (901, "", "s"), (902, "so " * 200_000, "s"), (903, "so " * 60 + "blockhead", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(4)
+    marks = spark.createDataFrame([(i, x, 0) for i, x in enumerate(labels)] + [(2, 1, 0), (None, 1, 0), (5000, 1, 0), (3, None, 0), (4, 7, 0)], "doc_id long, toxic int, quality int")
+    got = toxicity.scored(docs, marks).select("doc.doc_id", F.col("score").alias("s"), "predicted").collect()
+    assert len(got) == len(rows) and all(0 <= r["s"] <= 1 for r in got)
+    by = {r["doc_id"]: r["predicted"] for r in got}
+    assert by[None] == by[903] == 1 and by[900] == by[901] == by[902] == 0
+    assert toxicity.drop_toxic(docs, marks).columns == docs.columns
+    assert toxicity.scored(docs.limit(0), marks).count() == 0
+    assert {r["s"] for r in toxicity.scored(docs, marks.limit(0)).select(F.col("score").alias("s")).collect()} == {0.0}
 
 
 def test_no_labels_or_one_class():
