@@ -132,7 +132,7 @@ class Reading:
             firsts.append(start[a[ok]])
             lasts.append(end[a[ok] + more])
             owner.append(a[ok])
-        self.first, self.last, self.owner = (np.concatenate(x).astype(np.int64) for x in (firsts, lasts, owner))
+        self.first, self.last, self.owner = (np.concatenate(x).astype(np.int32) for x in (firsts, lasts, owner))
 
     def string(self, k: int) -> bytes:
         return self.code[self.first[k] : self.last[k]].tobytes()
