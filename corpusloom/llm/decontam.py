@@ -31,7 +31,7 @@ from corpusloom.session import cut
 
 WINDOW = 13
 SHINGLE = 5
-#: Rows of benchmark shingles that are broadcast at a time.
+#: Benchmark shingles, or windows and their items, that are broadcast at a time.
 BLOCK = 100_000
 #: A document is contaminated if hits make up at least 1 / SHARE of its words.
 SHARE = 20
@@ -82,8 +82,10 @@ def at_shingles(words: DataFrame, size: int) -> DataFrame:
 
 
 def blocks(table: DataFrame, rows: int = BLOCK) -> list[DataFrame]:
-    """``table`` in parts by key of about ``rows`` rows, each to be broadcast."""
-    n = -(-table.count() // rows)
+    """``table`` in parts by key, each to be broadcast: of about ``rows`` rows,
+    where a row counts for each window and each item that it lists."""
+    weight = F.aggregate("windows", F.lit(0), lambda n, w: n + 1 + F.size(w["items"])) if "windows" in table.columns else F.lit(1)
+    n = -(-(table.agg(F.sum(weight)).first()[0] or 0) // rows)
     return [table] if n <= 1 else [table.where(F.pmod("key", F.lit(n)) == i) for i in range(n)]
 
 
