@@ -172,26 +172,35 @@ def unsupported_rate(pairs: DataFrame, bar: float = 0.6, least: int = 4) -> Data
 def bleu_vs_rest(docs: DataFrame, key: str, text: str = "text", order: int = 4) -> DataFrame:
     """(key, bleu): each document against all others, without a cross join.
 
-    For an n-gram the largest count among the *other* documents is the
-    overall largest, unless this document alone holds it: then the second.
-    The closest other length comes from the histogram of lengths.
+    A document's count of an n-gram is clipped at the largest count among
+    the others.  That takes something away only from the one document that
+    alone has the largest count of all: the distance to the second.  So an
+    n-gram's two largest counts are all that is needed, map tasks pass on no
+    more than two of each, and nothing is joined back.  The closest other
+    length comes from the histogram of lengths.
     """
-    words = cut(with_tokens(docs, text).select(key, "tokens", F.size("tokens").alias("len")))
-    grams = None
-    for n in range(1, order + 1):
-        part = words.select(key, F.lit(n).alias("o"), F.explode(ngrams(F.col("tokens"), n)).alias("g"))
-        grams = part if grams is None else grams.union(part)
-    own = cut(grams.groupBy(key, "o", "g").agg(F.count(F.lit(1)).alias("c")))
-    held = own.groupBy("o", "g", "c").agg(F.count(F.lit(1)).alias("k"))
-    tops = held.groupBy("o", "g").agg(F.max(F.struct("c", "k")).alias("top"), F.slice(F.reverse(F.array_sort(F.collect_set("c"))), 1, 2).alias("two"))
-    ref = F.when((F.col("c") == F.col("top.c")) & (F.col("top.k") == 1), F.coalesce(F.get("two", F.lit(1)), F.lit(0))).otherwise(F.col("top.c"))
-    clipped = own.join(cut(tops), ["o", "g"]).groupBy(key, "o").agg(F.sum(F.least("c", ref)).alias("hit"))
+    words = cut(with_tokens(docs, text).select(key, "tokens", F.size("tokens").alias("len")).repartition(key))
+    at = F.col("at")
+
+    def hashed(n: int) -> Column:
+        # 128 bits stand for an n-gram: enough that no two of any corpus are taken for one
+        own = [F.get("tokens", at + k) for k in range(n)]
+        return F.when(at + n <= F.col("len"), F.struct(F.lit(n).alias("o"), F.xxhash64(F.lit(n), *own).alias("g"), F.xxhash64(F.lit(-n), *own).alias("h")))
+
+    spread = words.select(key, "tokens", "len", F.explode(F.when(F.col("len") > 0, F.sequence(F.lit(0), F.col("len") - 1))).alias("at"))
+    grams = spread.select(key, F.explode(F.array(*[hashed(n) for n in range(1, order + 1)])).alias("x")).where("x IS NOT NULL").select(key, "x.*")
+    # counted where the document is: the words are dealt by document
+    own = grams.groupBy(key, "o", "g", "h").agg(F.count(F.lit(1)).alias("c"))
+    two = own.withColumn("r", F.row_number().over(Window.partitionBy("o", "g", "h").orderBy(F.desc("c"), key))).where("r <= 2")
+    top = two.groupBy("o", "g", "h").agg(F.max("c").alias("c"), F.min_by(key, "r").alias(key), F.when(F.count(F.lit(1)) > 1, F.min("c")).otherwise(0).alias("second"))
+    lost = top.where("c > second").groupBy(key, "o").agg(F.sum(F.col("c") - F.col("second")).alias("lost"))
     hist = words.groupBy("len").agg(F.count(F.lit(1)).alias("k"))
     w = Window.orderBy("len")  # one row for each distinct length
     prev, nxt = F.lag("len").over(w), F.lead("len").over(w)
     near = hist.select("len", F.when(F.col("k") > 1, F.col("len")).when(nxt.isNull() | (F.col("len") - prev <= nxt - F.col("len")), F.coalesce(prev, nxt)).otherwise(nxt).alias("r"))
     orders = words.join(near, "len").select(key, "len", "r", F.explode(F.when(F.col("len") > 0, F.sequence(F.lit(1), F.least(F.lit(order), "len")))).alias("o"))
-    scored = orders.join(clipped, [key, "o"], "left").select(key, "len", "r", F.log((F.coalesce("hit", F.lit(0)) + 1) / (F.col("len") - F.col("o") + 2)).alias("lp"))
+    hit = F.col("len") - F.col("o") + 1 - F.coalesce("lost", F.lit(0))
+    scored = orders.join(lost, [key, "o"], "left").select(key, "len", "r", F.log((hit + 1) / (F.col("len") - F.col("o") + 2)).alias("lp"))
     brevity = F.when(F.col("len") > F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("len")))
     bleu = scored.groupBy(key, "len", "r").agg(F.exp(F.avg("lp")).alias("g")).select(key, (brevity * F.col("g")).alias("bleu"))
     return words.select(key).join(bleu, key, "left").select(key, F.coalesce("bleu", F.lit(0.0)).alias("bleu"))

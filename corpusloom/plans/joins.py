@@ -30,9 +30,9 @@ def join_keyed(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return left.withColumn("_salt", salt).join(spread, on, how).drop("_rk", "_salt", "_rsalt")
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, *, share: int = 500) -> DataFrame:
-    """Inner join of ``left`` to a table with unique ``key``s whose column
-    ``n`` says how many rows of ``left`` have the key.
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], n: str, *, share: int = 500) -> DataFrame:
+    """Inner join of ``left`` to a table with unique ``key``s (a column, or
+    several) whose column ``n`` says how many rows of ``left`` have the key.
 
     A key with more than one in ``share`` of the rows would make one task
     large, so these keys, ``share`` at most, are broadcast and their rows
@@ -42,7 +42,8 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, *, share:
     hot = right.where(F.col(n) > bar)
     if hot.isEmpty():
         return left.join(right, key)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= bar), key)
+    names = [key] if isinstance(key, str) else key
+    rest = left.join(F.broadcast(hot.select(*names)), key, "left_anti").join(right.where(F.col(n) <= bar), key)
     return rest.unionByName(left.join(F.broadcast(hot), key).select(*rest.columns))
 
 
