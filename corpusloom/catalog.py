@@ -29,8 +29,18 @@ def register(sql: str | None = None):
     return keep
 
 
+#: Tables up to this size are dealt out if they come in fewer parts than there are cores.
+SMALL = 256 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  A Parquet row group is one task however many cores
+    there are, so a small table in few of them is dealt out; larger ones
+    are read as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
