@@ -63,8 +63,9 @@ def op9_link_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     every = pii.BASE + pii.ADDED
+    total = sum((F.size(k.name) for k in every), F.lit(0)).cast("long").alias("n_spans")
     base, added = ([F.size(k.name).cast("long").alias(f"n_{k.name}") for k in kinds] for kinds in (pii.BASE, pii.ADDED))
-    return found.select("doc.doc_id", *base, F.sha2(pii.listed(pii.BASE), 256).alias("base_sha256"), pii.listed(every).alias("spans"), *added, pii.listed(every, score=True).alias("scores"))
+    return found.select("doc.doc_id", *base, F.sha2(pii.listed(pii.BASE), 256).alias("base_sha256"), pii.listed(every).alias("spans"), *added, total, pii.listed(every, score=True).alias("scores"))
 
 
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
