@@ -54,6 +54,19 @@ FILTER_BITS = 1 << 27
 WORD_BITS = 1 << 15
 
 
+def bitmap_marked(rows: DataFrame, keys: DataFrame, on: list[str], *, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with ``_held``: false for those whose ``on`` columns are surely
+    not among ``keys``, by a bitmap of ``bits`` bits that is broadcast
+    whatever the number of keys.  No row moves."""
+    place = lambda names: F.pmod(F.xxhash64(*names), F.lit(bits))
+    at = keys.select(place(on).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / WORD_BITS).alias("_word")).agg(F.bitmap_construct_agg(F.col("p") % WORD_BITS).alias("_bits"))
+    placed = rows.withColumn("_p", place(on)).withColumn("_w", F.floor(F.col("_p") / WORD_BITS))
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_p % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
+    held = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("_p") % 8).cast("int"))) != 0, F.lit(False))
+    return placed.join(F.broadcast(words), F.col("_w") == F.col("_word"), "left").withColumn("_held", held).drop("_p", "_w", "_word", "_bits")
+
+
 def split_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], *, bound: int | None = None, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """``rows`` whose ``on`` columns are among the distinct ``keys``, and the
     others; nulls are equal to each other.
@@ -69,13 +82,7 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], *, bound: int
     if within(keys, KEY_ROWS if bound is None else bound):
         small = F.broadcast(other)
         return rows.join(small, same(), "left_semi"), rows.join(small, same(), "left_anti")
-    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(bits))
-    at = other.select(place([F.col(c) for c in other.columns]).alias("p"))
-    words = at.groupBy(F.floor(F.col("p") / WORD_BITS).alias("_word")).agg(F.bitmap_construct_agg(F.col("p") % WORD_BITS).alias("_bits"))
-    placed = rows.withColumn("_p", place([F.col(c) for c in on])).withColumn("_w", F.floor(F.col("_p") / WORD_BITS))
-    byte = F.expr("cast(conv(hex(substring(_bits, cast(_p % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
-    held = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("_p") % 8).cast("int"))) != 0, F.lit(False))
-    marked = placed.join(F.broadcast(words), F.col("_w") == F.col("_word"), "left").withColumn("_held", held).drop("_p", "_w", "_word", "_bits")
+    marked = bitmap_marked(rows, keys, on, bits=bits)
     maybe, out = marked.where("_held").drop("_held"), marked.where("NOT _held").drop("_held")
     far = other.hint("shuffle_hash")
     return maybe.join(far, same(), "left_semi"), out.unionByName(maybe.join(far, same(), "left_anti"))
