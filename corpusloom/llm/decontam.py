@@ -9,8 +9,12 @@ documents' shingles.  A match fixes where the window would have to start;
 positional and length bounds discard it if that start lies before the
 text or its end after it, and the words are then compared one by one.
 
-Documents are scanned and cut in place: nothing but matches is shuffled.
-Benchmark tables are broadcast in blocks of a fixed number of rows.
+Documents are read and cut three times, whatever the size of the benchmark:
+to count its shingles, to match, and to count words.  Up to ``BLOCK`` rows
+of a benchmark table are broadcast, and nothing but matches is shuffled.  A
+larger table stays where it is: a bitmap of its shingles, of fixed size, is
+broadcast instead, and only document shingles that it holds are shuffled to
+meet the table, those of frequent shingles kept apart.
 
 Keys use Unicode lower case, which only widens the candidates; the final
 comparison lowers A-Z alone, as the contract has it.
@@ -26,12 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.textcols import ascii_lower, text_of
-from corpusloom.plans.joins import within
+from corpusloom.plans.joins import bitmap_marked, join_counted, within
 from corpusloom.session import cut
 
 WINDOW = 13
 SHINGLE = 5
-#: Benchmark shingles, or windows and their items, that are broadcast at a time.
+#: Benchmark shingles, or windows and their items, up to which a table of them is broadcast.
 BLOCK = 100_000
 #: A document is contaminated if hits make up at least 1 / SHARE of its words.
 SHARE = 20
@@ -74,34 +78,33 @@ def doc_words(docs: DataFrame) -> DataFrame:
     return cut_up.select("*", F.transform("raw", F.lower).alias("words"))
 
 
-def at_shingles(words: DataFrame, size: int) -> DataFrame:
-    """``words`` x its shingles of ``size`` words: adds pos and key."""
-    last = F.size("words") - size
+def at_shingles(words: DataFrame, sizes: list[int]) -> DataFrame:
+    """``words`` x its shingles of each of the ``sizes``: adds pos and key."""
+    last = F.size("words") - min(sizes)
     spread = words.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos"))
-    return spread.withColumn("key", shingle_key(F.col("words"), F.col("pos"), size))
+    pos = F.col("pos")
+    if len(sizes) == 1:
+        return spread.withColumn("key", shingle_key(F.col("words"), pos, sizes[0]))
+    keys = [F.when(pos + n <= F.size("words"), shingle_key(F.col("words"), pos, n)) for n in sizes]
+    return spread.withColumn("key", F.explode(F.array(*keys)))
 
 
-def blocks(table: DataFrame, rows: int = BLOCK) -> list[DataFrame]:
-    """``table`` in parts by key, each to be broadcast: of about ``rows`` rows,
-    where a row counts for each window and each item that it lists."""
-    weight = F.aggregate("windows", F.lit(0), lambda n, w: n + 1 + F.size(w["items"])) if "windows" in table.columns else F.lit(1)
-    n = -(-(table.agg(F.sum(weight)).first()[0] or 0) // rows)
-    return [table] if n <= 1 else [table.where(F.pmod("key", F.lit(n)) == i) for i in range(n)]
-
-
-def anchors(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(size, key, windows): each window under its rarest shingle."""
+def anchors(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, list[int]]:
+    """(key, n, windows): each window that may occur under its rarest shingle,
+    which the documents have ``n`` times; and the sizes of these shingles."""
     spread = cut(window_shingles(windows, shingle))
-    full = spread.where(F.col("size") == shingle).select("key").distinct()
-    counts = None
-    for part in blocks(full):
-        seen = at_shingles(doc_words(docs), shingle).select("key").join(F.broadcast(part), "key").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-        counts = seen if counts is None else counts.unionByName(seen)
-    rated = spread.join(counts, "key", "left")
-    rarest = rated.groupBy("window", "length", "items", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "at")).alias("best"))
-    # a full-length shingle that no document has rules its window out
-    possible = rarest.where((F.col("best.df") > 0) | (F.col("size") < shingle))
-    return possible.groupBy("size", F.col("best.key").alias("key")).agg(F.collect_list(F.struct("window", "length", F.col("best.at").alias("at"), "items")).alias("windows"))
+    sizes = sorted(r["size"] for r in spread.select("size").distinct().collect())
+    if not sizes:
+        return spread.select("key", F.lit(0).cast("long").alias("n"), F.array().alias("windows")), sizes
+    keys = cut(spread.select("key").distinct())
+    seen = at_shingles(doc_words(docs), sizes).select("key")
+    seen = seen.join(F.broadcast(keys), "key") if within(keys, block) else bitmap_marked(seen, keys, ["key"]).where("_held")
+    counts = seen.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    # a shingle that no document has rules its window out
+    rated = spread.join(counts, "key", "left").groupBy("window", "length", "items")
+    rarest = rated.agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "at")).alias("best")).where("best.df > 0")
+    listed = F.collect_list(F.struct("window", "length", F.col("best.at").alias("at"), "items")).alias("windows")
+    return cut(rarest.groupBy(F.col("best.key").alias("key")).agg(F.max("best.df").alias("n"), listed)), sizes
 
 
 def union_length(spans: Column) -> Column:
@@ -115,26 +118,27 @@ def union_length(spans: Column) -> Column:
     return F.aggregate(spans, seed, step, lambda acc: acc["n"])
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_key, n_hit, hit_items) of the documents that have any
     benchmark window."""
-    table = cut(anchors(docs, item_windows(items, window), shingle))
-    hits = None
-    for (size,) in sorted(table.select("size").distinct().collect()):
-        for part in blocks(table.where(F.col("size") == size).select("key", "windows")):
-            # The join and the cut of the words around a match are one generated
-            # loop: of a long text only matches with their surroundings leave it.
-            # A filter on the windows would become part of the join and break that.
-            near = at_shingles(doc_words(docs), size).join(F.broadcast(part), "key")
-            lead = F.least(F.col("pos"), F.lit(window - 1))
-            near = near.select("doc_id", "text_key", "pos", "windows", F.size("raw").alias("n"), lead.alias("lead"), F.slice("raw", F.col("pos") - lead + 1, F.lit(2 * window - 1)).alias("around"))
-            fits = lambda a: (F.col("lead") >= a["at"]) & (F.col("pos") - a["at"] + a["length"] <= F.col("n"))
-            same = lambda a: ascii_lower(F.array_join(F.slice("around", F.col("lead") - a["at"] + 1, a["length"]), " ")) == a["window"]
-            true = F.when(F.size("around") > 0, F.filter("windows", lambda a: F.when(fits(a), same(a)).otherwise(F.lit(False))))
-            found = near.select("doc_id", "text_key", F.transform(true, lambda a: F.struct((F.col("pos") - a["at"]).alias("s"), a["length"].alias("length"), a["items"].alias("items"))).alias("found"))
-            hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+    table, sizes = anchors(docs, item_windows(items, window), shingle, block)
+    # a table's row counts for each window and each item that it lists
+    weight = table.agg(F.sum(F.aggregate("windows", F.lit(0), lambda n, w: n + 1 + F.size(w["items"])))).first()[0] if sizes else None
+    if not weight:
         return docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("hit_items")).limit(0)
+    # The join, or the bitmap, and the cut of the words around a match are one
+    # generated loop: of a long text only matches with their surroundings leave
+    # it.  A filter on the windows would become part of the join and break that.
+    spread, lead = at_shingles(doc_words(docs), sizes), F.least(F.col("pos"), F.lit(window - 1))
+    around = ["doc_id", "text_key", "pos", F.size("raw").alias("n_words"), lead.alias("lead"), F.slice("raw", F.col("pos") - lead + 1, F.lit(2 * window - 1)).alias("around")]
+    if weight <= block:
+        near = spread.join(F.broadcast(table.select("key", "windows")), "key").select("windows", *around)
+    else:
+        near = join_counted(cut(bitmap_marked(spread, table, ["key"]).where("_held").select("key", *around)), table, "key", "n")
+    fits = lambda a: (F.col("lead") >= a["at"]) & (F.col("pos") - a["at"] + a["length"] <= F.col("n_words"))
+    same = lambda a: ascii_lower(F.array_join(F.slice("around", F.col("lead") - a["at"] + 1, a["length"]), " ")) == a["window"]
+    true = F.when(F.size("around") > 0, F.filter("windows", lambda a: F.when(fits(a), same(a)).otherwise(F.lit(False))))
+    hits = near.select("doc_id", "text_key", F.transform(true, lambda a: F.struct((F.col("pos") - a["at"]).alias("s"), a["length"].alias("length"), a["items"].alias("items"))).alias("found"))
     # Sets, so that rows which repeat a document add nothing before they meet;
     # outer, as an inner explode would put its filter into the join.
     single = hits.select("doc_id", "text_key", F.explode_outer("found").alias("x")).select("doc_id", "text_key", F.when(F.col("x").isNotNull(), F.struct("x.s", "x.length")).alias("span"), F.explode_outer("x.items").alias("item"))
@@ -142,9 +146,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     return grouped.select("doc_id", "text_key", union_length(F.array_sort("spans")).alias("n_hit"), F.array_sort("items").alias("hit_items"))
 
 
-def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row per document."""
-    found = cut(occurrences(docs.select("doc_id", "text"), items, window))
+    found = cut(occurrences(docs.select("doc_id", "text"), items, window, block=block))
     t = text_of("text")
     own = docs.select("doc_id", F.xxhash64(t).alias("text_key"), F.size(words_of(t, GAP_ANY)).cast("long").alias("n_words"))
     other = found.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
@@ -162,9 +166,9 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE, block: int = BLOCK) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    found = cut(occurrences(docs.select("doc_id", "text"), items, window))
+    found = cut(occurrences(docs.select("doc_id", "text"), items, window, block=block))
     t = text_of("text")
     own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_doc_id"), F.xxhash64(t).alias("_text_key"))
     other = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_hit")

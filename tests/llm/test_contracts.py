@@ -139,15 +139,15 @@ def test_shards_part_equal_rows(spark, monkeypatch, n_equal, n_other):
     assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got) + 0.01 * max(sizes)
 
 
-def check_contamination(table, items):
+def check_contamination(table, items, **options):
     want_items = [tuple(r) for r in items.select("item_id", "text").collect()]
     texts = {}
     for r in table.collect():
         texts.setdefault((r["doc_id"], r["text"]), []).append(brute.contamination(r["text"], want_items))
     want = sorted((str(k[0]), *map(str, v)) for k, vs in texts.items() for v in vs)
-    got = sorted(tuple(map(str, r)) for r in decontam.judge(table, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+    got = sorted(tuple(map(str, r)) for r in decontam.judge(table, items, **options).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
     assert got == want
-    clean = decontam.decontaminate(table, items)
+    clean = decontam.decontaminate(table, items, **options)
     assert clean.columns == table.columns
     assert clean.count() == sum(w[-1] == "False" for w in want)
 
@@ -159,9 +159,10 @@ def test_contamination(spark, awkward, items, docs, empty):
     assert decontam.judge(docs, items.limit(0)).where("contaminated").count() == 0
 
 
-def test_contamination_in_blocks(awkward, items, monkeypatch):
-    monkeypatch.setattr(decontam.blocks, "__defaults__", (3,))
-    check_contamination(awkward, items)
+@pytest.mark.parametrize("block", [0, 3])
+def test_contamination_beyond_broadcast(spark, awkward, items, docs, block):
+    check_contamination(awkward, items, block=block)
+    check_contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet"), block=block)
 
 
 def test_rules(awkward, docs, empty):
