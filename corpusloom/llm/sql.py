@@ -105,10 +105,32 @@ PII = (
 
 SHARDS = "SELECT count(*) AS n_docs, CAST(sum(octet_length(encode(coalesce(text, ''))) + 16) AS BIGINT) AS n_bytes, CAST(sum(doc_id) AS BIGINT) AS sum_ids, true AS gapless, true AS even FROM documents"
 
+#: Term by term, where the operator tallies combinations of counts.
+DIVERGENCE = r"""
+WITH docs AS (SELECT row_number() OVER () AS nth, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+used AS (SELECT nth, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM used GROUP BY lang, term HAVING count(DISTINCT nth) >= 30),
+n_kept AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT g.lang, g.source, k.term, count(u.nth)::HUGEINT AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counted GROUP BY ALL),
+p AS (SELECT c.lang, source, term, n, (1 + (1000000000 * (n + 5)) // (total + 5 * v))::BIGINT AS p FROM counted c JOIN totals USING (lang, source) JOIN n_kept USING (lang)),
+lang_counted AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counted GROUP BY ALL),
+lang_totals AS (SELECT lang, sum(n)::HUGEINT AS total FROM lang_counted GROUP BY ALL),
+q AS (SELECT c.lang, term, (1 + (1000000000 * (n + 5)) // (total + 5 * v))::BIGINT AS q FROM lang_counted c JOIN lang_totals USING (lang) JOIN n_kept USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+ahead AS (SELECT p.lang, source, term AS item, p.p - q.q AS value, row_number() OVER (PARTITION BY p.lang, source ORDER BY p.p - q.q DESC, encode(term)) AS rank FROM p JOIN q USING (lang, term) WHERE n > 0 AND p.p > q.q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, value, CAST(rank AS INTEGER) FROM ahead WHERE rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op1_mix_sources": MIX,
     "op5_decontaminate": CONTAMINATION,
     "op8_apply_rules": RULE_LEDGER,
+    "op11_audit_sources": DIVERGENCE,
     "rule_ablation": ABLATION,
     "url_rules": URL_RULES,
     "pii_base": PII,
