@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import codes, decontam, divergence, htmltext, licenses, mixing, pii, rules, sharding, simhash, toxicity, urlfilter
+from corpusloom.llm import codes, decontam, divergence, htmltext, licenses, minhash, mixing, pii, rules, sharding, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op12_compress_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(spark, table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_link_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.clusters(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the path rules alone say of each page."""
     pages = table(spark, sf_dir, "pages").select("page_id", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
@@ -110,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_licenses, op3_shard_documents, op4_filter_urls, op5_decontaminate, op6_extract_text, op7_score_toxicity, op8_apply_rules, op9_link_near_copies, op10_find_personal_data, op11_audit_sources, op12_compress_vectors, url_rules, pii_base, shard_checks, rule_ablation, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_scan_licenses, op3_shard_documents, op4_filter_urls, op5_decontaminate, op6_extract_text, op7_score_toxicity, op8_apply_rules, op9_link_near_copies, op10_find_personal_data, op11_audit_sources, op12_compress_vectors, op13_link_similar, url_rules, pii_base, shard_checks, rule_ablation, pipeline)}
 
 
 def queries() -> dict:
