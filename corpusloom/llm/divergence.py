@@ -26,7 +26,6 @@ has no pairs; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -41,15 +40,25 @@ MIN_DOCS = 30
 TOP = 50
 UNIT = 1_000_000_000
 PRIOR = 5
-#: Bytes of a text that are split at once, and terms held before they are sent on.
+#: Bytes of a text that are split at once; terms of documents and distinct
+#: terms that a task holds before it sends their sums on.
 PIECE = 1 << 20
-HELD = 400_000
+HELD = 2_000_000
+WORDS = 1 << 20
 #: Term counts of a language that one task tallies.
 BLOCK = 200_000
 
 _LETTER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def terms(text: bytes) -> Iterator[list[bytes]]:
     """The terms of a UTF-8 text in pieces: runs of letters and of all
     characters beyond ASCII, with A-Z in lower case."""
@@ -69,31 +78,34 @@ def count_terms(docs: DataFrame) -> DataFrame:
     partial sums that are yet to be added up.  Every group also has a row
     whose term is null."""
 
-    def rows(held: dict) -> pa.RecordBatch:
-        flat = [(*group, t, n, seen[t]) for group, (counts, seen) in held.items() for t, n in counts.items()]
-        flat += [(*group, None, 0, 0) for group in held]
-        cols = list(zip(*flat))
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        arrays = [pa.array([x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in c], k) for c, k in zip(cols, kinds)]
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "docs"])
+    def summed(held: dict, ids: dict, parts: list) -> pa.RecordBatch:
+        group, term, n = (np.concatenate(x) for x in zip(*parts))
+        keys, place, docs = np.unique(group * len(ids) + term, return_inverse=True, return_counts=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, place, n)
+        # every group once more, without a term
+        own = pa.array(np.r_[keys // len(ids), np.arange(len(held))])
+        langs, sources = (pa.array(x, pa.string()).take(own) for x in zip(*held))
+        names = pa.array([*(t.decode("utf-8", "replace") for t in ids), None], pa.string())
+        terms_ = names.take(pa.array(np.r_[keys % len(ids), np.full(len(held), len(ids))]))
+        none = np.zeros(len(held), np.int64)
+        return pa.RecordBatch.from_arrays([langs, sources, terms_, pa.array(np.r_[total, none]), pa.array(np.r_[docs, none])], ["lang", "source", "term", "n", "docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held, ids, parts, size = {}, Numbers(), [], 0
         for b in batches:
             langs, sources, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
             for i in range(b.num_rows):
-                group = held.setdefault((langs[i], sources[i]), (Counter(), Counter()))
-                before, own = len(group[0]), set()
-                for piece in terms(texts[i].as_py()):
-                    group[0].update(piece)
-                    own.update(piece)
-                group[1].update(own)
-                size += len(group[0]) - before
-                if size > HELD:
-                    yield rows(held)
-                    held, size = {}, 0
+                group = held.setdefault((langs[i], sources[i]), len(held))
+                found = [np.fromiter(map(ids.__getitem__, piece), np.int64, len(piece)) for piece in terms(texts[i].as_py())]
+                own, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+                parts.append((np.full(len(own), group, np.int64), own, n))
+                size += len(own)
+                if size > HELD or len(ids) > WORDS:
+                    yield summed(held, ids, parts)
+                    held, ids, parts, size = {}, Numbers(), [], 0
         if held:
-            yield rows(held)
+            yield summed(held, ids, parts)
 
     part = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return part.mapInArrow(count, "lang string, source string, term string, n long, docs long")
@@ -146,15 +158,15 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     """(lang, source, part, item, value, rank).  Part ``pair``: the
     difference to each other source of the language.  Part ``term``: the
     ``top`` terms that the source has more of than its language."""
-    raw = cut(count_terms(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    found = raw.where("term IS NOT NULL")
-    vocabulary = found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term", "lang_n")
-    counts = cut(found.select("lang", "source", "term", "n").join(vocabulary, ["lang", "term"]))
-    # a term is kept in its language, so each is counted in at least one source
-    of_lang = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count(F.lit(1)).alias("rows"))
-    size = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
-    langs = cut(of_lang.join(size, "lang"))
-    groups = raw.where("term IS NULL").select("lang", "source")
+    # dealt by term, so that sums by group, sums by language and the choice of
+    # terms all happen where the rows then are
+    of_term = Window.partitionBy("lang", "term")
+    added = count_terms(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    ranked = added.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("docs"), (F.row_number().over(of_term.orderBy("source")) == 1).alias("once"))
+    kept = cut(ranked.where((F.col("docs") >= min_docs) | F.col("term").isNull()).drop("docs"))
+    counts = kept.where("term IS NOT NULL")
+    langs = cut(counts.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count(F.lit(1)).alias("rows"), F.count_if("once").alias("kept")))
+    groups = kept.where("term IS NULL").select("lang", "source")
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
     zero = F.lit(0).cast("long")
     groups = cut(
