@@ -208,9 +208,10 @@ def near_sizes(a: Column, b: Column, low: int = LOW, high: int = HIGH) -> Column
 
 def linked(pairs: DataFrame, content: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets are similar enough."""
-    side = lambda s: pairs.groupBy(s).agg(F.count(F.lit(1)).alias("times")).join(content.withColumnRenamed("set_id", s), s).withColumnRenamed("hashes", f"hashes_{s}")
-    both = join_counted(pairs, side("a"), "a", "times").drop("times")
-    both = join_counted(both, side("b"), "b", "times")
+    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("times"))
+    of = lambda s: content.select(F.col("set_id").alias(s), F.col("hashes").alias(f"hashes_{s}"))
+    # a hub is the b of many pairs
+    both = join_counted(pairs, cut(often.join(of("b"), "b")), "b", "times").join(of("a"), "a")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return both.where(high * shared >= low * (F.size("hashes_a") + F.size("hashes_b") - shared)).select("a", "b")
 
@@ -222,7 +223,7 @@ def merged(state: DataFrame, edges: DataFrame) -> DataFrame:
     between = edges.join(left, "a").join(right, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct()
     new = components(cut(between)).select(F.col("fp").alias("root"), F.col("root").alias("up"))
     sizes = state.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
-    ups = sizes.join(new, "root", "left").select("root", "k", F.coalesce("up", "root").alias("up"))
+    ups = cut(sizes.join(new, "root", "left").select("root", "k", F.coalesce("up", "root").alias("up")))
     return cut(join_counted(state, ups, "root", "k").select("set_id", F.col("up").alias("root")))
 
 
@@ -278,7 +279,7 @@ def set_components(sets: DataFrame, docs: DataFrame, width: int = WIDTH, low: in
     count, similarity = m // BAND, estimated(m)
     hashes = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.xxhash64(k, F.expr("registers").substr(k * (2 * BAND) + 1, F.lit(2 * BAND))))
     bands = sets.select("set_id", F.explode(hashes).alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = cut(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     active = cut(join_counted(bands, shared, "band", "size").select("band", "set_id", "size"))
     members = cut(sets.join(active.select("set_id").distinct(), "set_id").select("set_id", "n", "registers", "text_key"))
     content = whole_sets(members, docs, width)
@@ -296,15 +297,15 @@ def set_components(sets: DataFrame, docs: DataFrame, width: int = WIDTH, low: in
         if rows.isEmpty():
             return state
         first = F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), F.col("set_id"), F.col("root"))).alias("hub")
-        hubs = rows.groupBy("band").agg(first, F.count(F.lit(1)).alias("size")).select("band", "size", F.col("hub.set_id").alias("hub"), F.col("hub.root").alias("hub_root"))
-        pairs = join_counted(rows.drop("size"), hubs, "band", "size").where("root <> hub_root").select("set_id", "hub").distinct()
+        hubs = cut(rows.groupBy("band").agg(first, F.count(F.lit(1)).alias("size")).select("band", "size", F.col("hub.set_id").alias("hub"), F.col("hub.root").alias("hub_root")))
+        pairs = cut(join_counted(rows.drop("size"), hubs, "band", "size").where("root <> hub_root").select("set_id", "hub").distinct())
         pairs = pairs.join(facts, "set_id").withColumnRenamed("n", "n_a").withColumnRenamed("registers", "registers_a")
         often = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("times"))
-        known = often.join(facts.withColumnRenamed("set_id", "hub"), "hub").withColumnRenamed("registers", "registers_b")
+        known = cut(often.join(facts.withColumnRenamed("set_id", "hub"), "hub").withColumnRenamed("registers", "registers_b"))
         pairs = join_counted(pairs, known, "hub", "times").where(near_sizes(F.col("n_a"), F.col("n"), low, high))
         guess = pairs.select("set_id", "hub", similarity("registers_a", "registers_b", "n").alias("s")).where(F.col("s") >= bar(low, high, m))
-        best = guess.groupBy("set_id").agg(F.max_by("hub", F.struct("s", -F.col("hub"))).alias("hub"))
-        edges = cut(linked(best.select(F.col("set_id").alias("a"), F.col("hub").alias("b")), content, low, high))
+        best = guess.groupBy(F.col("set_id").alias("a")).agg(F.max_by("hub", F.struct("s", -F.col("hub"))).alias("b"))
+        edges = cut(linked(cut(best), content, low, high))
         if edges.isEmpty():
             break
         state = merged(state, edges)
@@ -346,6 +347,7 @@ def clusters(docs: DataFrame, width: int = WIDTH, low: int = LOW, high: int = HI
     )
     state = set_components(sets, docs, width, low, high, m)
     of = sets.select(*keys, "copies", "set_id", "least").join(state, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    of = cut(of)
     tops = of.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("component_id"))
     named = cut(join_counted(of, tops, "root", "k").select(*keys, "copies", "component_id"))
     inside = join_counted(rows.where("n > 0").drop("registers"), named, keys, "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
