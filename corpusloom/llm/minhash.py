@@ -28,6 +28,10 @@ leaves a margin of six standard deviations, and is then confirmed on the
 whole sets.  No pair of copies of one text is ever made, and pairs within a
 component are left out.
 
+Rows that are joined on a hot key (a band, a hub, a component or a set of
+many copies) are a few longs and meet a table in which the key is unique,
+so Spark's skew join splits them.
+
 Defined cases: null, empty and blank texts have no shingles and link with
 nothing; a text with fewer words than a shingle is one shingle; rows that
 are repeated and equal texts share a set; null ids are ignored when the
@@ -46,8 +50,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.simhash import components
-from corpusloom.plans.joins import join_counted, split_by_keys
+from corpusloom.plans.joins import split_by_keys
 from corpusloom.session import cut
 
 WIDTH = 2
@@ -55,7 +58,7 @@ LOW, HIGH = 80, 100
 REGISTERS = 128
 MANTISSA = 10
 BAND = 4
-ROUNDS = 3
+ROUNDS = 2
 TILE = 512
 SEED = 42
 PIECE = 1 << 20
@@ -208,23 +211,33 @@ def near_sizes(a: Column, b: Column, low: int = LOW, high: int = HIGH) -> Column
 
 def linked(pairs: DataFrame, content: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets are similar enough."""
-    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("times"))
     of = lambda s: content.select(F.col("set_id").alias(s), F.col("hashes").alias(f"hashes_{s}"))
-    # a hub is the b of many pairs
-    both = join_counted(pairs, cut(often.join(of("b"), "b")), "b", "times").join(of("a"), "a")
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return both.where(high * shared >= low * (F.size("hashes_a") + F.size("hashes_b") - shared)).select("a", "b")
 
 
+def roots(edges: DataFrame) -> DataFrame:
+    """(node, root) for every end of an edge: labels spread to neighbours and
+    jump along pointers, one checkpoint a round."""
+    both = cut(edges.union(edges.select("b", "a")).distinct())
+    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    while True:
+        near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
+        spread = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
+        ups = spread.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        jumped = cut(spread.join(ups, "root").select("node", "old", F.least("root", "up").alias("root")))
+        state = jumped.select("node", "root")
+        if jumped.where("old <> root").isEmpty():
+            return state
+
+
 def merged(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """``state`` (set_id, root) with the roots joined by ``edges`` made one;
-    a root may hold many sets, so it is joined by counts."""
+    """``state`` (set_id, root) with the roots joined by ``edges`` made one."""
     left, right = (state.select(F.col("set_id").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
     between = edges.join(left, "a").join(right, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct()
-    new = components(cut(between)).select(F.col("fp").alias("root"), F.col("root").alias("up"))
-    sizes = state.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
-    ups = cut(sizes.join(new, "root", "left").select("root", "k", F.coalesce("up", "root").alias("up")))
-    return cut(join_counted(state, ups, "root", "k").select("set_id", F.col("up").alias("root")))
+    new = roots(between).select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return cut(state.join(new, "root", "left").select("set_id", F.coalesce("up", "root").alias("root")))
 
 
 def tiles(rows: DataFrame, m: int = REGISTERS, low: int = LOW, high: int = HIGH) -> DataFrame:
@@ -279,33 +292,31 @@ def set_components(sets: DataFrame, docs: DataFrame, width: int = WIDTH, low: in
     count, similarity = m // BAND, estimated(m)
     hashes = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.xxhash64(k, F.expr("registers").substr(k * (2 * BAND) + 1, F.lit(2 * BAND))))
     bands = sets.select("set_id", F.explode(hashes).alias("band"))
-    shared = cut(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    active = cut(join_counted(bands, shared, "band", "size").select("band", "set_id", "size"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    active = cut(bands.join(shared, "band"))
     members = cut(sets.join(active.select("set_id").distinct(), "set_id").select("set_id", "n", "registers", "text_key"))
     content = whole_sets(members, docs, width)
-    state = cut(members.select("set_id", F.col("set_id").alias("root")))
+    state = members.select("set_id", F.col("set_id").alias("root"))
     facts = members.select("set_id", "n", "registers")
 
     def mixed_bands() -> DataFrame:
         """(band, size, set_id, root) of bands with several components."""
-        rooted = active.join(state, "set_id")
+        rooted = active.select("band", "set_id").join(state, "set_id")
         several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("band", "size")
-        return join_counted(rooted.drop("size"), several, "band", "size")
+        return rooted.join(several, "band")
 
     for turn in range(ROUNDS):
-        rows = cut(mixed_bands())
+        rows = cut(mixed_bands()) if turn else active.withColumn("root", F.col("set_id"))
         if rows.isEmpty():
             return state
         first = F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), F.col("set_id"), F.col("root"))).alias("hub")
-        hubs = cut(rows.groupBy("band").agg(first, F.count(F.lit(1)).alias("size")).select("band", "size", F.col("hub.set_id").alias("hub"), F.col("hub.root").alias("hub_root")))
-        pairs = cut(join_counted(rows.drop("size"), hubs, "band", "size").where("root <> hub_root").select("set_id", "hub").distinct())
-        pairs = pairs.join(facts, "set_id").withColumnRenamed("n", "n_a").withColumnRenamed("registers", "registers_a")
-        often = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("times"))
-        known = cut(often.join(facts.withColumnRenamed("set_id", "hub"), "hub").withColumnRenamed("registers", "registers_b"))
-        pairs = join_counted(pairs, known, "hub", "times").where(near_sizes(F.col("n_a"), F.col("n"), low, high))
-        guess = pairs.select("set_id", "hub", similarity("registers_a", "registers_b", "n").alias("s")).where(F.col("s") >= bar(low, high, m))
-        best = guess.groupBy(F.col("set_id").alias("a")).agg(F.max_by("hub", F.struct("s", -F.col("hub"))).alias("b"))
-        edges = cut(linked(cut(best), content, low, high))
+        hubs = rows.groupBy("band").agg(first).select("band", F.col("hub.set_id").alias("b"), F.col("hub.root").alias("hub_root"))
+        pairs = rows.join(hubs, "band").where("root <> hub_root").select(F.col("set_id").alias("a"), "b").distinct()
+        side = lambda s: facts.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"registers_{s}"))
+        pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(near_sizes(F.col("n_a"), F.col("n_b"), low, high))
+        guess = pairs.select("a", "b", similarity("registers_a", "registers_b", "n_a").alias("s")).where(F.col("s") >= bar(low, high, m))
+        best = cut(guess.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b")))
+        edges = cut(linked(best, content, low, high))
         if edges.isEmpty():
             break
         state = merged(state, edges)
@@ -342,14 +353,13 @@ def clusters(docs: DataFrame, width: int = WIDTH, low: int = LOW, high: int = HI
     # a number for every distinct set, fixed by the checkpoint
     sets = cut(
         rows.where("n > 0").groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("registers").alias("registers"))
+        .agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("registers").alias("registers"))
         .withColumn("set_id", F.monotonically_increasing_id())
     )
     state = set_components(sets, docs, width, low, high, m)
-    of = sets.select(*keys, "copies", "set_id", "least").join(state, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    of = cut(of)
-    tops = of.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("component_id"))
-    named = cut(join_counted(of, tops, "root", "k").select(*keys, "copies", "component_id"))
-    inside = join_counted(rows.where("n > 0").drop("registers"), named, keys, "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of = sets.select(*keys, "set_id", "least").join(state, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    tops = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = of.join(tops, "root").select(*keys, "component_id")
+    inside = rows.where("n > 0").select("doc_id", *keys).join(named, keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return inside.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
