@@ -480,7 +480,8 @@ def stream_run_state(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(path if _is_dir(spark, path) else f"{sf_dir}/events.parquet*")
     state = runs.run_state(_log_columns(stream), ["status", "reserved_cost_usd"])
     base = spark.sparkContext.getCheckpointDir() or cut(spark.range(1)) and spark.sparkContext.getCheckpointDir()
-    return runs.drain(state, f"runs_{uuid.uuid4().hex[:8]}", f"{base}/stream-{uuid.uuid4().hex}")
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    return runs.drain(state, ["run_id"], f"{folder}/table", f"{folder}/state")
 
 
 def _is_dir(spark, path: str) -> bool:

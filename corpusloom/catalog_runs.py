@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.catalog import LOG, NOW, STATE, _is_dir, read, register, run_log
@@ -12,7 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import events as ev, launch
 from corpusloom.session import cut
 from corpusloom.sources import io
-from corpusloom.streaming import runs
+from corpusloom.streaming import budgets, runs
 
 
 def requests(spark, sf_dir) -> DataFrame:
@@ -81,9 +79,9 @@ def stream_dashboard(spark, sf_dir):
     e = event_stream(spark, sf_dir)
     status = F.when(F.col("event_id") % 11 == 0, "completed").when(F.col("event_id") % 3 == 0, F.col("event_type"))
     log = e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("run_id"), status.alias("status"))
-    name = f"dashboard_{uuid.uuid4().hex[:8]}"
-    runs.start_dashboard(runs.run_state(log, ["status"]), name, scratch(spark, "dashboard"), once=True).awaitTermination()
-    return spark.table(name).groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    folder = scratch(spark, "dashboard")
+    runs.start_dashboard(runs.run_state(log, ["status"]), f"{folder}/table", f"{folder}/state", once=True).awaitTermination()
+    return runs.latest(spark, f"{folder}/table", ["run_id"]).groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(f"WITH {REFUSED} SELECT 'launch_failed' AS status, count(*) AS n FROM e WHERE refusal IS NOT NULL UNION ALL SELECT 'reserved', count(*) FROM e WHERE refusal IS NULL")
@@ -97,6 +95,32 @@ def stream_gateway(spark, sf_dir):
     return io.read_events(spark, f"{folder}/log").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+ASKED = "round(greatest(value, 0.0) / 8, 6)"
+
+
+@register(
+    f"""WITH RECURSIVE asked AS (SELECT CAST(user_id AS VARCHAR) AS budget, strftime(ts, '%Y-%m') AS month, event_id AS seq, user_id || '-' || strftime(ts, '%Y-%m') || '-' || event_id % 40 AS run_id,
+  CAST(round({ASKED} * 1000000) AS BIGINT) AS cost, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY event_id) AS k FROM events),
+ step AS (SELECT DISTINCT budget, month, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS refusal, CAST(0 AS BIGINT) AS spent, CAST([] AS VARCHAR[]) AS seen FROM asked
+  UNION ALL SELECT a.budget, a.month, a.k, a.seq, CASE WHEN list_contains(seen, a.run_id) THEN 'duplicate' WHEN cost > greatest(0, 40000000 - spent) THEN 'gpu_budget' END,
+   CASE WHEN list_contains(seen, a.run_id) OR cost > greatest(0, 40000000 - spent) THEN spent ELSE spent + cost END, CASE WHEN list_contains(seen, a.run_id) OR cost > greatest(0, 40000000 - spent) THEN seen ELSE list_append(seen, a.run_id) END
+  FROM step s JOIN asked a ON a.budget = s.budget AND a.month = s.month AND a.k = s.k + 1)
+ SELECT budget, month, seq, refusal FROM step WHERE k > 0"""
+)
+def stream_admission(spark, sf_dir):
+    """Every event asks for money of its user's month: keyed state admits in
+    order what the cap still holds."""
+    e = event_stream(spark, sf_dir)
+    user, when = F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM")
+    asked = e.select(
+        user.alias("budget"), F.col("event_id").alias("seq"), F.concat_ws("-", user, when, (F.col("event_id") % 40).cast("string")).alias("run_id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"),
+        F.round(F.greatest(F.col("value"), F.lit(0.0)) / 8, 6).alias("reserved_cost_usd"),
+    ).withColumn("ts", F.col("us") / 1_000_000)
+    folder = scratch(spark, "admission")
+    budgets.admit(asked.drop("us")).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("budget", "month", "seq", "refusal")
+
+
 @register(
     f"""WITH {LOG}, live AS (SELECT * REPLACE (CASE WHEN status = 'completed' THEN 'completed' ELSE 'running' END AS status) FROM log), {STATE.replace('FROM log', 'FROM live')},
  due AS (SELECT run_id FROM state WHERE status = 'running' AND started_at IS NOT NULL) SELECT (SELECT count(*) FROM due) AS reaped, (SELECT count(DISTINCT run_id) FROM log) AS runs, 0 AS reaped_twice"""
