@@ -14,10 +14,9 @@ band in common with probability (1 - 0.8**4)**32 < 5e-8.
 Documents with equal sets are one set from the start.  Sets are then linked
 in two steps:
 
-* star rounds: in each band the first set, in an order drawn anew for each
-  round, is the band's hub; each set is compared with the most similar of
-  its hubs that are in another component.  That joins groups of copies with
-  one comparison a set.
+* the star: in each band the set with the smallest hash is the band's hub;
+  each set is compared with the most similar of its hubs.  That joins groups
+  of copies with one comparison a set.
 * the rest: in bands whose sets still belong to several components, sets of
   different components are compared register by register, in tiles of
   ``TILE`` sets, so a large band is many tasks and no task holds a band.
@@ -58,7 +57,6 @@ LOW, HIGH = 80, 100
 REGISTERS = 128
 MANTISSA = 10
 BAND = 4
-ROUNDS = 2
 TILE = 512
 SEED = 42
 PIECE = 1 << 20
@@ -232,6 +230,17 @@ def roots(edges: DataFrame) -> DataFrame:
             return state
 
 
+def tops(parents: DataFrame) -> DataFrame:
+    """(a, b) with b the last of the parents above a.  Every a has one
+    parent, whose hash is smaller, so no chain comes back to itself."""
+    while True:
+        above = parents.select(F.col("a").alias("b"), F.col("b").alias("next"))
+        jumped = cut(parents.join(above, "b", "left").select("a", F.coalesce("next", "b").alias("b"), F.col("next").isNotNull().alias("moved")))
+        parents = jumped.select("a", "b")
+        if jumped.where("moved").isEmpty():
+            return parents
+
+
 def merged(state: DataFrame, edges: DataFrame) -> DataFrame:
     """``state`` (set_id, root) with the roots joined by ``edges`` made one."""
     left, right = (state.select(F.col("set_id").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
@@ -242,7 +251,8 @@ def merged(state: DataFrame, edges: DataFrame) -> DataFrame:
 
 def tiles(rows: DataFrame, m: int = REGISTERS, low: int = LOW, high: int = HIGH) -> DataFrame:
     """(a, b): pairs of different components in a band that pass the
-    estimate.  ``rows`` are (band, size, set_id, root, n, registers).
+    estimate, each from the first band that both have.  ``rows`` are (band,
+    k, size, set_id, root, n, registers), k being the band's place.
 
     A band of up to ``TILE`` sets is one tile.  A larger one is dealt into
     parts by the sets' hashes, and each two parts are a tile.
@@ -250,21 +260,23 @@ def tiles(rows: DataFrame, m: int = REGISTERS, low: int = LOW, high: int = HIGH)
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int"))
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("x"), F.greatest(k, F.col("part")).alias("y")))).alias("met")
-    dealt = rows.select("band", "part", "set_id", "root", "n", "registers", met).select("band", "met.x", "met.y", "part", "set_id", "root", "n", "registers")
+    dealt = rows.select("band", "k", "part", "set_id", "root", "n", "registers", met).select("band", "met.x", "met.y", "k", "part", "set_id", "root", "n", "registers")
     least, names = bar(low, high, m), ["band", "x", "y"]
     dealt = dealt.repartition(*names).sortWithinPartitions(*names)
 
     def passing(rows: pd.DataFrame) -> pd.DataFrame:
         part, ids, root, n = (rows[c].to_numpy() for c in ("part", "set_id", "root", "n"))
         flat = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, m)
-        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
+        x, y, k = (rows[c].iloc[0] for c in ("x", "y", "k"))
         left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
         out = []
         for i in left:
             other = right[right > i] if x == y else right
             other = other[(root[other] != root[i]) & (np.minimum(n[other], n[i]) * high >= np.maximum(n[other], n[i]) * low)]
             if len(other):
-                other = other[corrected((flat[other] == flat[i]).mean(axis=1), n[other], m) >= least]
+                same = flat[other] == flat[i]
+                first = same.reshape(len(other), -1, BAND).all(axis=2).argmax(axis=1)
+                other = other[(first == k) & (corrected(same.mean(axis=1), n[other], m) >= least)]
                 out.append(np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])]))
         both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"a": both[0], "b": both[1]})
@@ -283,48 +295,34 @@ def tiles(rows: DataFrame, m: int = REGISTERS, low: int = LOW, high: int = HIGH)
         if rest is not None and len(rest):
             yield passing(rest)
 
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
+    return dealt.mapInPandas(compare, "a long, b long")
 
 
 def set_components(sets: DataFrame, docs: DataFrame, width: int = WIDTH, low: int = LOW, high: int = HIGH, m: int = REGISTERS) -> DataFrame:
     """(set_id, root) of the sets that are linked to others.  ``sets`` are
     (set_id, n, text_key, registers); the texts are read in ``docs``."""
-    count, similarity = m // BAND, estimated(m)
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.xxhash64(k, F.expr("registers").substr(k * (2 * BAND) + 1, F.lit(2 * BAND))))
-    bands = sets.select("set_id", F.explode(hashes).alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(m // BAND - 1)), lambda k: F.xxhash64(k, F.expr("registers").substr(k * (2 * BAND) + 1, F.lit(2 * BAND))))
+    bands = sets.select("set_id", F.posexplode(hashes).alias("k", "band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
     active = cut(bands.join(shared, "band"))
     members = cut(sets.join(active.select("set_id").distinct(), "set_id").select("set_id", "n", "registers", "text_key"))
     content = whole_sets(members, docs, width)
-    state = members.select("set_id", F.col("set_id").alias("root"))
-    facts = members.select("set_id", "n", "registers")
-
-    def mixed_bands() -> DataFrame:
-        """(band, size, set_id, root) of bands with several components."""
-        rooted = active.select("band", "set_id").join(state, "set_id")
-        several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("band", "size")
-        return rooted.join(several, "band")
-
-    for turn in range(ROUNDS):
-        rows = cut(mixed_bands()) if turn else active.withColumn("root", F.col("set_id"))
-        if rows.isEmpty():
-            return state
-        first = F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), F.col("set_id"), F.col("root"))).alias("hub")
-        hubs = rows.groupBy("band").agg(first).select("band", F.col("hub.set_id").alias("b"), F.col("hub.root").alias("hub_root"))
-        pairs = rows.join(hubs, "band").where("root <> hub_root").select(F.col("set_id").alias("a"), "b").distinct()
-        side = lambda s: facts.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"registers_{s}"))
-        pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(near_sizes(F.col("n_a"), F.col("n_b"), low, high))
-        guess = pairs.select("a", "b", similarity("registers_a", "registers_b", "n_a").alias("s")).where(F.col("s") >= bar(low, high, m))
-        best = cut(guess.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b")))
-        edges = cut(linked(best, content, low, high))
-        if edges.isEmpty():
-            break
-        state = merged(state, edges)
-    rows = cut(mixed_bands())
-    if rows.isEmpty():
-        return state
-    pairs = cut(tiles(rows.join(facts, "set_id"), m, low, high))
-    edges = cut(linked(pairs, content, low, high))
+
+    # the star: every set and the most similar of the hubs of its bands
+    hubs = active.groupBy("band").agg(F.min(F.struct(F.xxhash64("set_id"), F.col("set_id"))).alias("hub")).select("band", F.col("hub.set_id").alias("b"))
+    pairs = active.join(hubs, "band").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
+    side = lambda s: members.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"registers_{s}"))
+    pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(near_sizes(F.col("n_a"), F.col("n_b"), low, high))
+    guess = pairs.select("a", "b", estimated(m)("registers_a", "registers_b", "n_a").alias("s")).where(F.col("s") >= bar(low, high, m))
+    best = cut(guess.groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b")))
+    up = tops(cut(linked(best, content, low, high)))
+    state = cut(members.select("set_id").join(up.select(F.col("a").alias("set_id"), "b"), "set_id", "left").select("set_id", F.coalesce("b", "set_id").alias("root")))
+
+    # the rest: pairs of different components in a band
+    rooted = active.join(state, "set_id")
+    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("band", "size")
+    rows = rooted.join(several, "band").join(members.select("set_id", "n", "registers"), "set_id")
+    edges = cut(linked(cut(tiles(rows, m, low, high)), content, low, high))
     return state if edges.isEmpty() else merged(state, edges)
 
 
