@@ -10,8 +10,14 @@ WS = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"
 
 
+#: The same characters one by one.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+$", "")
+    """Without white space at the ends; looks at each end once, where a
+    pattern would try every run of spaces to its end."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
