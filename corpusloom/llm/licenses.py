@@ -34,15 +34,16 @@ HINT = (
 )
 #: Marks of comments at the start of a line.
 MARK = r"[ \t\r/*#;%>-]"
+NOTICE = r"copyright\b(?!\W+(?:notices?|holders?|owners?|statements?|laws?|licen[cs]es?|and|or|in)\b)"
 #: Blank lines, stops but those of abbreviated company names, and before a line with a copyright notice.
 SENTENCE_END = (
     rf"(?i)\n{MARK}*\n|(?<=[.!?])(?<!\b(?:inc|ltd|corp|co)\.)\s+"
-    rf"|(?:\n|(?<=[;:])[ \t])(?={MARK}{{0,12}}copyright\b(?!\W+(?:notices?|holders?|owners?|statements?|laws?|licen[cs]es?|and|or|in)\b))"
+    rf"|(?:\n(?={MARK}*+{NOTICE})|(?<=[;:])[ \t]++(?={NOTICE}))"
 )
 SPDX_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
 SPDX = rf"(?i)SPDX-License-Identifier:[ \t]*(\(*{SPDX_ID}\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*{SPDX_ID}\)*)*)"
-#: Up to a version number, over none and over no other identifier.
-TO = r"(?:(?!\bv?[0-9]+(?:\.[0-9]+)*\b)[^#]){0,160}?(?:\bv?|(?<=[gemp]pl)v)"
+#: A version number.
+NUMBER = r"\bv?[0-9]+(?:\.[0-9]+)*\b"
 #: A licence that is said not to apply.
 DENIED = r"\bnot (?:be )?(?:licensed|released|available|distributed|covered|published) (?:under|by) [^,;#]*"
 
@@ -92,6 +93,11 @@ FAMILIES = (
     ("CC-BY", r"\bcc by\b|creative commons attribution", ""),
     ("Public-Domain", r"(?:in|into|to) the public domain", ""),
 )
+def between(start: str, end: str) -> str:
+    """``start``, anything but an identifier or another start, ``end``."""
+    return rf"{start}(?:(?!{start})[^#])*?{end}"
+
+
 # Sentences of licence texts and notices.  Ordered.
 CLAUSES = (
     ("SpdxTag", r"spdx license identifier"),
@@ -108,8 +114,8 @@ CLAUSES = (
     ("BSDSource", r"redistributions of source code must retain"),
     ("BSDBinary", r"redistributions in binary form must reproduce"),
     ("BSDAdvert", r"all advertising materials mentioning features"),
-    ("BSDNoEndorse", r"neither the names? of [^#]*? may be used to endorse"),
-    ("BSDAsIs", r"this software is provided by [^#]*? as is"),
+    ("BSDNoEndorse", between("neither the names? of ", " may be used to endorse")),
+    ("BSDAsIs", between("this software is provided by ", " as is")),
     ("ISCGrant", r"permission to use, copy, modify,? and(?:/or)? distribute this software"),
     ("ISCAsIs", r"the software is provided as is and the author disclaims"),
     ("ZlibAsIs", r"this software is provided as is ?,? without any express or implied warranty"),
@@ -124,6 +130,14 @@ LAST = (
 )
 
 
+def up_to(name: str) -> str:
+    """From a name up to a version number, however far: over no number, no
+    other identifier and not over the name again, so that no part of a
+    sentence is looked at from more than one name.  A name in brackets after
+    a name belongs to it."""
+    return rf"(?:{name})(?: ?\((?:{name})\))?(?:(?!{NUMBER}|{name})[^#])*?(?:\bv?|(?<=[gemp]pl)v)"
+
+
 def version(v: str) -> str:
     """A version as it may be written: 2.0 also as 2."""
     return re.escape(v) if not v.endswith(".0") else rf"{re.escape(v[:-2])}(?:\.0)?(?!\.?[0-9])"
@@ -135,7 +149,7 @@ def sentences() -> list[tuple[str, str]]:
     names = []
     for family, name, versions in FAMILIES:
         for v in versions.replace("*", "").split():
-            names.append((f"{family}-{v}", rf"(?:{name}){TO}{version(v)}"))
+            names.append((f"{family}-{v}", rf"{up_to(name)}{version(v)}"))
         names.append((f"{family}-{versions.split()[0][:-1]}" if "*" in versions else family, rf"(?:{name})"))
     first = sorted(CLAUSES, key=lambda c: c[0] != "BoostGrant")
     return [*first, *names, *LAST]
