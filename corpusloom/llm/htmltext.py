@@ -2,10 +2,11 @@
 
 A page is read as a flat run of text blocks, cut at block-level tags.  Each
 block is described by its word count and link density and those of its two
-neighbours, and by three facts about the elements around it (inside an
-article, inside a navigation-like element, inside an element named like
-one).  A decision tree grown on the small labelled table below says which
-blocks belong to the article.
+neighbours, and by facts about the elements around it (inside an article,
+a heading, inside a navigation-like element, inside an element named like
+one).  A decision tree says which blocks belong to the article.  It is
+grown on the labelled blocks of made-up pages of several layouts, with an
+article element and without; on the latter word counts and densities decide.
 
 Defined cases: null and empty html give an empty text; html without tags
 is one block; unclosed and stray tags are tolerated; an unclosed comment,
@@ -21,14 +22,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from html import unescape
+from random import Random
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 # The element names of HTML and the words sites use for parts of a page.
 BREAKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-HELD = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header li main menu nav noscript ol section select span svg table td template ul".split())
+HELD = (BREAKS | frozenset("button noscript span svg template".split())) - {"br", "hr"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements before which an open paragraph ends.
+ENDS_P = BREAKS - frozenset("br body caption head html legend option summary tbody td tfoot th thead title tr li dt dd".split())
 #: Elements whose content is not markup; none of it is text of the page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 #: Elements that are not shown: no script runs here, templates are not rendered, drawings and choices are no text.
@@ -43,7 +49,7 @@ PARTS = (
     "subscribe subscription signup login share sharing social sidebar widget widgets related recommended recommendations comment comments commentlist replies respond disqus breadcrumb breadcrumbs menu menus nav navbar navigation "
     "topbar masthead header footer copyright legal pagination pager toolbar searchbox searchform"
 )
-LAYOUT = "area bar block body box button buttons col column container content form group holder inner item items left links list main nav outer panel placeholder pane right row section slot top bottom unit widget wrap wrapper"
+LAYOUT = "area bar block body box button buttons col column container content form group holder inner item items left links list main nav outer panel placeholder pane right row section slot top bottom unit widget wrap wrapper now us today cta offer offers message messages prompt"
 NAMES = re.compile(rf"^(?:[a-z0-9]+[-_]+)*?(?:{'|'.join(PARTS.split())})(?:[-_]+(?:{'|'.join(LAYOUT.split())}|[0-9]+))*$", re.I)
 
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
@@ -181,7 +187,8 @@ def blocks(html: str) -> list[Block]:
         text = " ".join(unescape("".join(pieces)).split())
         top = stack[-1]
         if text and not top.hidden:
-            out.append(Block(text, len(text.split()), len(unescape("".join(linked)).split()), top.inside, top.boiler, top.named, heading))
+            words = len(text.split())
+            out.append(Block(text, words, min(words, len(unescape("".join(linked)).split())), top.inside, top.boiler, top.named, heading))
         pieces.clear()
         linked.clear()
 
@@ -209,10 +216,17 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag == "a":
             link = 0 if kind == "close" else 1
+            linked.append(" ")  # the words of two links are apart
         if tag in BREAKS:
             flush()
             link = 0 if tag != "br" else link
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if kind == "open" and tag in ENDS_P and held["p"] > 0:
+            k = len(stack) - 1
+            while stack[k].tag in ("span", "button"):
+                k -= 1
+            if stack[k].tag == "p":
+                drop(k)
+        if tag in HEADINGS:
             heading = kind == "open"
         if tag not in HELD or kind == "empty":
             continue
@@ -237,101 +251,144 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "inside", "boiler", "named", "has_article")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "heading_before", "inside", "boiler", "named", "has_article")
 
 
 def features(page: list[Block]) -> list[tuple]:
     none, has = Block("", 0, 0, False, False, False), float(any(b.inside for b in page))
     around = [none, *page, none]
-    return [(b.words, b.density, p.words, p.density, n.words, n.density, float(b.inside), float(b.boiler), float(b.named), has) for p, b, n in zip(around, around[1:], around[2:])]
-
-
-#: The labelled table, fixed values: FEATURES in order, then 1 for article text.
-LABELLED = """
- 6 0.00  40 0.00  60 0.00 1 0 0 1 1
-60 0.00   6 0.00  45 0.00 1 0 0 1 1
- 1 0.00  30 0.00  30 0.00 1 0 0 1 1
- 2 0.00   1 1.00   2 0.00 1 0 0 1 1
- 4 1.00  30 0.00  30 0.00 1 0 0 1 1
-25 0.40  30 0.00  20 0.10 1 0 0 1 1
- 1 1.00   1 1.00   1 1.00 1 0 0 1 1
-90 0.02  12 1.00   9 0.20 1 0 0 1 1
- 3 0.00   0 0.00   0 0.00 1 0 0 1 1
-12 0.00   6 0.00   0 0.00 1 0 0 1 1
- 1 1.00   1 1.00   1 1.00 0 1 0 1 0
- 1 1.00   0 0.00   1 1.00 0 1 0 1 0
- 9 0.00  60 0.00   0 0.00 0 1 0 1 0
-40 0.05   2 1.00   7 0.00 0 1 0 1 0
-80 0.00  80 0.00  80 0.00 0 1 0 1 0
-14 0.00   1 1.00   6 0.00 0 0 1 1 0
-70 0.00   1 1.00   6 0.00 0 0 1 1 0
-30 0.10  30 0.00  30 0.00 1 0 1 1 0
- 3 0.00  60 0.00  12 0.00 1 0 1 1 0
-45 0.00  60 0.00  45 0.00 1 0 1 1 0
- 8 0.00  20 0.00  30 0.00 1 1 0 1 0
-25 0.00  40 0.00   0 0.00 1 1 0 1 0
-15 0.00   5 0.00  20 0.00 1 1 1 1 0
-10 0.30   9 0.00   0 0.00 0 1 1 1 0
- 5 0.00   1 1.00   8 0.00 0 0 0 1 0
-60 0.00   9 0.00   4 1.00 0 0 0 1 0
-20 0.00  30 0.00   6 0.00 0 0 0 1 0
- 3 1.00   3 1.00   3 1.00 0 0 0 1 0
-60 0.00  50 0.00  70 0.00 0 0 0 0 1
-45 0.00   7 0.00  60 0.00 0 0 0 0 1
-30 0.05  50 0.00  20 0.00 0 0 0 0 1
-22 0.10   8 0.00   4 0.00 0 0 0 0 1
-12 0.00  60 0.00  55 0.00 0 0 0 0 1
- 5 0.00  40 0.00  40 0.00 0 0 0 0 1
- 2 0.00  30 0.00  25 0.00 0 0 0 0 1
- 6 0.00   2 1.00  70 0.00 0 0 0 0 1
- 7 0.00   0 0.00  60 0.00 0 0 0 0 1
- 8 0.00  60 0.00   5 1.00 0 0 0 0 0
- 4 0.00   3 1.00   3 1.00 0 0 0 0 0
- 1 1.00   1 1.00   1 1.00 0 0 0 0 0
- 6 0.90  60 0.00  60 0.00 0 0 0 0 0
-20 0.80   5 1.00   5 1.00 0 0 0 0 0
- 5 0.00   1 1.00   2 1.00 0 0 0 0 0
- 3 0.00   4 0.00   3 0.00 0 0 0 0 0
- 7 0.20   6 0.00   2 1.00 0 0 0 0 0
-14 0.00   3 0.00   0 0.00 0 0 0 0 1
- 1 0.00   0 0.00   0 0.00 0 0 0 0 1
- 9 0.00   0 0.00   0 0.00 0 0 0 0 1
-45 0.00   4 0.00   3 1.00 0 1 0 0 0
-12 0.00   3 1.00  50 0.00 0 1 0 0 0
-60 0.00  60 0.00  60 0.00 0 1 0 0 0
-14 0.00   3 1.00  50 0.00 0 0 1 0 0
-50 0.00   3 1.00  50 0.00 0 0 1 0 0
-"""
-
-
-def grow(rows: list[tuple], depth: int = 8):
+    return [
+        (b.words, b.density, p.words, p.density, n.words, n.density, float(b.heading), float(p.heading), float(b.inside), float(b.boiler), float(b.named), has)
+        for p, b, n in zip(around, around[1:], around[2:])
+    ]
+
+
+#: How many pages are made up for training, and the seed of what is in them.
+PAGES, SEED = 480, 6
+
+
+def made_up(number: int) -> tuple[str, list[int]]:
+    """A page and the label of each of its blocks, 1 for article text.
+
+    The layouts differ in what surrounds the article (an article element, a
+    main element, a plain division) and in whether menus, adverts, side
+    columns and footers say what they are.  Text runs from a one-word
+    answer to 200 words, some of it linked.
+    """
+    rng = Random(SEED * 1_000_003 + number)
+    among = lambda low, high: low + int(rng.random() * (high - low + 1))
+    words = lambda n: " ".join("w" * among(2, 9) for _ in range(n))
+    layout = number % 6
+    bare = layout >= 3
+    parts: list[tuple[str, int]] = []
+
+    def links(n: int, low: int, high: int) -> str:
+        return " ".join(f'<a href="/x">{words(among(low, high))}</a>' for _ in range(n))
+
+    def menu(named: str) -> None:
+        if rng.random() < 0.5:
+            parts.append((f"<div{named}>{links(among(2, 16), 1, 4)}</div>", 1))
+        else:
+            items = [f"<li>{links(1, 1, 4)}</li>" for _ in range(among(2, 6))]
+            parts.append((f"<ul{named}>{''.join(items)}</ul>", len(items)))
+
+    def note(named: str, low: int = 4, high: int = 14) -> None:
+        inner = words(among(low, high))
+        parts.append((f"<div{named}>{inner} {links(1, 1, 3)}</div>" if rng.random() < 0.5 else f"<div{named}>{inner}</div>", 1))
+
+    def text() -> None:
+        for _ in range(among(1, 9)):
+            kind = rng.random()
+            if not bare and kind < 0.08:
+                parts.append((f"<p>{links(among(1, 3), 1, 6)}</p>", 1))
+            if kind < 0.15:
+                parts.append((f"<h2>{words(among(1, 8))}</h2>", 1))
+            if kind < 0.25:
+                parts.append((f"<p>{words(among(1, 8))}</p>", 1))
+            elif kind < 0.35:
+                parts.append((f"<p>{words(among(15, 60))} {links(among(1, 3), 1, 4)} {words(among(5, 40))}</p>", 1))
+            else:
+                parts.append((f"<p>{words(among(12, 200))}</p>", 1))
+
+    outside = (' class="nav"', ' class="sidebar"', ' class="ad-box"', ' id="footer"') if number % 12 < 6 else ("", "", "", "")
+    labels: list[int] = []
+
+    def counted(make, label: int) -> None:
+        before = len(parts)
+        make()
+        labels.extend([label] * sum(n for _, n in parts[before:]))
+
+    for _ in range(among(1, 2)):
+        counted(lambda: menu(outside[0]), 0)
+    if rng.random() < 0.4 and (outside[2] or not bare):
+        counted(lambda: note(outside[2], 4, 14 if bare else 80), 0)
+    open_, close = (("<article>", "</article>"), ("<main>", "</main>"), ("<article>", "</article>"), ("<div>", "</div>"), ("<section>", "</section>"), ("", ""))[layout]
+    parts.append((open_, 0))
+    if rng.random() < 0.75:
+        counted(lambda: parts.append((f"<h1>{words(among(2, 10))}</h1>", 1)), 1)
+    counted(text, 1)
+    if not bare and rng.random() < 0.4:
+        counted(lambda: note(' class="ad"', 3, 20), 0)
+        counted(text, 1)
+    if not bare and rng.random() < 0.3:
+        counted(lambda: parts.append((f"<aside>{words(among(3, 60))}</aside>", 1)), 0)
+        counted(text, 1)
+    parts.append((close, 0))
+    for _ in range(0 if bare else among(0, 3)):
+        counted(lambda: note(outside[1], 3, 80), 0)
+    if rng.random() < 0.5:
+        counted(lambda: menu(outside[1]), 0)
+        if rng.random() < 0.5:
+            counted(lambda: note(outside[1], 4, 14 if bare else 80), 0)
+            counted(lambda: menu(outside[1]), 0)
+    if rng.random() < 0.7:
+        counted(lambda: menu(outside[3]), 0)
+        counted(lambda: note(outside[3], 3, 12), 0)
+    return "<html><body>" + "".join(p for p, _ in parts) + "</body></html>", labels
+
+
+def labelled(pages: int = PAGES) -> list[tuple]:
+    """The labelled table: FEATURES of every block and its label."""
+    rows = []
+    for k in range(pages):
+        html, labels = made_up(k)
+        rows += [(*x, y) for x, y in zip(features(blocks(html)), labels, strict=True)]
+    return rows
+
+
+def grow(rows: list[tuple], depth: int = 10, least: int = 4):
     """A binary decision tree by Gini impurity: a leaf's label, or
-    (feature, threshold, tree below, tree above)."""
+    (feature, threshold, tree below, tree above).  A leaf has ``least``
+    blocks at least."""
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
         return int(2 * ones >= len(rows))
     best = None
     for f in range(len(FEATURES)):
-        values = sorted({r[f] for r in rows})
-        for a, b in zip(values, values[1:]):
-            cut = (a + b) / 2
-            gini = 0.0
-            for side in ([r for r in rows if r[f] <= cut], [r for r in rows if r[f] > cut]):
-                p = sum(r[-1] for r in side) / len(side)
-                gini += len(side) * p * (1 - p)
-            if best is None or gini < best[0] - 1e-12:
-                best = (gini, f, cut)
-    if best is None:
+        ordered = sorted((r[f], r[-1]) for r in rows)
+        below = 0
+        for k in range(1, len(ordered)):
+            below += ordered[k - 1][1]
+            if ordered[k - 1][0] == ordered[k][0] or not least <= k <= len(ordered) - least:
+                continue
+            p, q = below / k, (ones - below) / (len(ordered) - k)
+            gini = k * p * (1 - p) + (len(ordered) - k) * q * (1 - q)
+            if best is None or gini < best[0] - 1e-9:
+                best = (gini, f, (ordered[k - 1][0] + ordered[k][0]) / 2)
+    if best is None or best[0] > ones * (1 - ones / len(rows)) - 1e-9:
         return int(2 * ones >= len(rows))
     _, f, cut = best
-    return f, cut, grow([r for r in rows if r[f] <= cut], depth - 1), grow([r for r in rows if r[f] > cut], depth - 1)
+    low, high = grow([r for r in rows if r[f] <= cut], depth - 1, least), grow([r for r in rows if r[f] > cut], depth - 1, least)
+    return low if low == high and not isinstance(low, tuple) else (f, cut, low, high)
 
 
-TREE = grow([(*map(float, x[:-1]), int(x[-1])) for x in map(str.split, LABELLED.strip().splitlines())])
+@cache
+def tree():
+    return grow(labelled())
 
 
 def classify(x: tuple) -> int:
-    node = TREE
+    node = tree()
     while isinstance(node, tuple):
         node = node[2] if x[node[0]] <= node[1] else node[3]
     return node

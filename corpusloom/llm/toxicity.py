@@ -42,13 +42,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.session import cut
 
 #: Labelled texts of each class that are fitted, chosen by hash of the id, and how long they may be.
 SAMPLE = 2000
 LONGEST = 100_000
+#: How many characters of both classes together are fitted: bounds the fit's memory.
+CHARACTERS = 16_000_000
 LANDMARKS = 256
 DECAY, SPAN = 0.7, 6
 LETTERS = 64
@@ -391,19 +393,22 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, characters: int = CHARACTERS) -> Model:
     """Fit on at most ``sample`` labelled texts of each class outside fold
     0, of at most ``longest`` characters, taken in the order of a hash of the
     id, so the same at every run.  Only ids and hashes are joined to choose
     them, only the chosen texts come together, in one task on an executor,
-    and only the model's weights reach the driver: bounded by the two
-    parameters, whatever the corpus."""
+    and only the model's weights reach the driver.  ``characters`` bounds
+    the chosen texts as a whole, half of them for each class: the fit takes
+    some 25 bytes of memory for each."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     keys = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).where(F.col("n") <= longest)
-    known = cut(keys.join(usable, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text_key", "toxic")).alias("x")).select("doc_id", "x.*"))
+    known = cut(keys.join(usable, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text_key", "toxic", "n")).alias("x")).select("doc_id", "x.*"))
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
-    part = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
+    # of each class half of the characters, text by text while they last; the window sees ``sample`` narrow rows
+    so_far = F.sum("n").over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    part = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample).withColumn("so_far", so_far).where(F.col("so_far") <= characters // 2).drop("so_far", "n") for c in (0, 1)]
     picked = F.broadcast(cut(part[0].unionByName(part[1])).withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key"))
     rows = docs.select("doc_id", "text").join(picked, (F.col("doc_id") == F.col("id")) & F.xxhash64("text").eqNullSafe(F.col("key")))
     rows = rows.groupBy("doc_id").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.first(F.col("toxic").cast("int")).alias("toxic"))

@@ -62,7 +62,7 @@ ASIDE = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)|\z)
 #: Anchors that name a host, with or without a scheme.
 #: Attributes before it are passed over one by one, with their values.
 VALUE = r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
-HREF = rf"""(?i)<(?:a|area)(?=[\s/])(?:[\s/]++(?!href[\s=/>])[^\s=>/"']++{VALUE})*+[\s/]++href\s*+=\s*+["']?\s*+((?:[a-z][a-z0-9+.-]*+:)?+//[^"'\s<>]++)"""
+HREF = rf"""(?i)<(?:a|area)(?=[\s/])(?:[\s/]++(?!href[\s=/>])[^\s=<>/"']++{VALUE})*+[\s/]++href\s*+=\s*+["']?\s*+((?:[a-z][a-z0-9+.-]*+:)?+//[^"'\s<>]++)"""
 
 
 def host_of(url: Column) -> Column:
