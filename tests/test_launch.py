@@ -52,9 +52,9 @@ def test_allowed_launches(spark):
 
 def test_configurations():
     config = {"Train": {"Reward": [{"embedder_id": "E1"}], "steps": None}, "eval": {"embedder": "E2"}, "list": [1, {"x": 2}]}
-    assert list(launch.leaves(config))[0] == (("train", "reward", "embedder_id"), "E1")
-    assert launch.first_value(config, {"X"}) == 2 and launch.first_value(config, {"steps"}) is None and launch.first_value(config, set(), ("embed",)) == "E1"
-    assert launch.training_value(config, "embedder") == "E1" and launch.training_value({"eval": {"embedder": "E"}}, "embedder") is None
+    assert list(launch.flattened(config).items()) == [(("train", "reward", "embedder_id"), "E1"), (("eval", "embedder"), "E2"), (("list",), 1), (("list", "x"), 2)]
+    assert launch.Role(("x",), ()).named(launch.flattened(config)) == 2 and launch.Role(("steps",), ()).named(launch.flattened(config)) is None
+    assert launch.ROLES["reward embedder"].named(launch.flattened(config)) == "E1" and launch.ROLES["reward embedder"].named({("eval", "embedder"): "E"}) is None
     launch.guard_representations(config)
     for bad in ({"reward_embedder": launch.DEV_EMBEDDER.upper()}, {"objective": {"embedder": launch.DEV_EMBEDDER}}, {"disc": "D", "eval_discriminator_id": "d"}):
         with pytest.raises(ValueError):
@@ -71,6 +71,8 @@ def test_samplers_and_responses():
     for change in ({"frozen": 1}, {"seed": None}, {"seed": True}, {"seed": -1}, {"batch_size": 0}, {"top_p": 0}, {"temperature": 0}, {"do_sample": 1}, {"prompt_bank": " "}, {"prompt_format": "{user_prompt} {other}"}, {"prompt_format": "none"}, {"max_new_tokens": 1.5}):
         with pytest.raises(ValueError, match="sampler"):
             launch.check_sampler(good | change)
+    with pytest.raises(ValueError, match="seed must be.*top_p must be"):
+        launch.check_sampler(good | {"seed": -1, "top_p": 2})
     answer = dict.fromkeys(launch.RESPONSE_KEYS) | {"aggregate_only": True, "primary": dict.fromkeys(launch.PRIMARY_KEYS, 0.1), "verdict": "confirm"}
     assert launch.check_response(answer) == answer
     for bad in (None, answer | {"texts": []}, answer | {"aggregate_only": 1}, answer | {"primary": {}}, answer | {"verdict": "maybe"}):
@@ -92,6 +94,7 @@ def test_surfaces(spark):
             surfaces.embed(docs, bad).collect()
     with pytest.raises(TypeError):
         surfaces.embed(docs, "a model's name")
+    assert surfaces.embed(docs, "ones", load=lambda name: {"ones": Model()}[name]).first()["v"] == [1.0, 1.0]
 
     class Judge:
         def compare(self, prompt, candidate_a, candidate_b):
@@ -100,6 +103,19 @@ def test_surfaces(spark):
     assert surfaces.ask(Judge(), "p", "a", "b") == {"winner": 0.9} and surfaces.ask(lambda p, x, y: y, "p", "a", "b") == "b"
     with pytest.raises(TypeError):
         surfaces.ask(object(), "p", "a", "b")
+
+    class Chat:
+        model = "m"
+
+        class chat:  # noqa: N801
+            class completions:  # noqa: N801
+                @staticmethod
+                def create(model, temperature, messages):
+                    sent = json.loads(messages[0]["content"].splitlines()[-1])
+                    answer = type("Answer", (), {"content": "B" if sent["B"] > sent["A"] else "A"})
+                    return type("Answers", (), {"choices": [type("Choice", (), {"message": answer})]})
+
+    assert surfaces.ask(Chat(), "p", "a", "b") == "B" and surfaces.ask(Chat(), "p", "z", "b") == "A"
     assert surfaces.probe_scores(docs.where("pos = 0"), lambda texts: [len(t) for t in texts]).first()["score"] == 20.0
     with pytest.raises(Exception, match="cannot be used"):
         surfaces.probe_scores(docs, lambda texts: [float("inf")] * len(texts)).collect()
