@@ -20,6 +20,7 @@ in two steps:
 * the rest: in bands whose sets still belong to several components, sets of
   different components are compared register by register, in tiles of
   ``TILE`` sets, so a large band is many tasks and no task holds a band.
+  A tile returns links that join its components, never its pairs.
 
 Either way a pair must pass the estimate of its similarity, which takes the
 chance collisions of compressed registers out of the share of equal ones and
@@ -41,7 +42,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -61,7 +62,7 @@ TILE = 512
 SEED = 42
 PIECE = 1 << 20
 #: Distinct words whose hashes a task remembers.
-WORDS = 1 << 20
+WORDS = 1 << 17
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -249,53 +250,110 @@ def merged(state: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(state.join(new, "root", "left").select("set_id", F.coalesce("up", "root").alias("root")))
 
 
-def tiles(rows: DataFrame, m: int = REGISTERS, low: int = LOW, high: int = HIGH) -> DataFrame:
-    """(a, b): pairs of different components in a band that pass the
-    estimate, each from the first band that both have.  ``rows`` are (band,
-    k, size, set_id, root, n, registers), k being the band's place.
-
-    A band of up to ``TILE`` sets is one tile.  A larger one is dealt into
-    parts by the sets' hashes, and each two parts are a tile.
-    """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int"))
+def tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (band, size, set_id, ...) dealt into tiles (band, x, y): a
+    band of up to ``TILE`` sets is one tile; a larger one is dealt into parts
+    by the sets' hashes, and each two parts are a tile."""
+    rows = rows.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int"))
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("x"), F.greatest(k, F.col("part")).alias("y")))).alias("met")
-    dealt = rows.select("band", "k", "part", "set_id", "root", "n", "registers", met).select("band", "met.x", "met.y", "k", "part", "set_id", "root", "n", "registers")
-    least, names = bar(low, high, m), ["band", "x", "y"]
-    dealt = dealt.repartition(*names).sortWithinPartitions(*names)
-
-    def passing(rows: pd.DataFrame) -> pd.DataFrame:
-        part, ids, root, n = (rows[c].to_numpy() for c in ("part", "set_id", "root", "n"))
-        flat = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, m)
-        x, y, k = (rows[c].iloc[0] for c in ("x", "y", "k"))
-        left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
-        out = []
-        for i in left:
-            other = right[right > i] if x == y else right
-            other = other[(root[other] != root[i]) & (np.minimum(n[other], n[i]) * high >= np.maximum(n[other], n[i]) * low)]
-            if len(other):
-                same = flat[other] == flat[i]
-                first = same.reshape(len(other), -1, BAND).all(axis=2).argmax(axis=1)
-                other = other[(first == k) & (corrected(same.mean(axis=1), n[other], m) >= least)]
-                out.append(np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": both[0], "b": both[1]})
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return rows.select("*", met).select("met.*", *rows.columns).drop("parts", "size")
+
+
+def per_tile(of: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``of`` for each tile of a partition that is sorted by tile."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             if not len(b):
                 continue
-            key = b[names].to_numpy()
+            key = b[["band", "x", "y"]].to_numpy()
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             for i, j in zip(start[:-1], start[1:]):
-                yield passing(b.iloc[i:j])
+                yield of(b.iloc[i:j])
             rest = b.iloc[start[-1] :]
         if rest is not None and len(rest):
-            yield passing(rest)
+            yield of(rest)
+
+    return run
+
+
+def candidates(rows: pd.DataFrame, m: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, estimates) of a tile: the rows of other components that
+    may be as similar to row i as is asked.  A pair counts in the first band
+    that both sets have, so in one tile of all."""
+    part, root, n = (rows[c].to_numpy() for c in ("part", "root", "n"))
+    flat = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, m)
+    x, y, k = (rows[c].iloc[0] for c in ("x", "y", "k"))
+    least, right = bar(low, high, m), np.flatnonzero(part == y)
+    for i in np.flatnonzero(part == x):
+        other = right[right > i] if x == y else right
+        other = other[(root[other] != root[i]) & (np.minimum(n[other], n[i]) * high >= np.maximum(n[other], n[i]) * low)]
+        if len(other):
+            same = flat[other] == flat[i]
+            guess = corrected(same.mean(axis=1), n[other], m)
+            use = (same.reshape(len(other), -1, BAND).all(axis=2).argmax(axis=1) == k) & (guess >= least)
+            if use.any():
+                yield i, other[use], guess[use]
+
+
+def tile_links(rows: pd.DataFrame, m: int, low: int, high: int) -> pd.DataFrame:
+    """(a, b): links that join all components of a tile which its similar
+    pairs join.  Pairs are confirmed on the whole sets, the likeliest first,
+    and left out once their components are one."""
+    found = list(candidates(rows, m, low, high))
+    out = []
+    if found:
+        ids, names = rows["set_id"].to_numpy(), np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        up = np.arange(names.max() + 1)
+        sizes = rows["n"].to_numpy()
+        codes = np.unique(np.concatenate(rows["hashes"].to_list()), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        mark = np.zeros(codes.max() + 1, bool)
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        for i, other, _ in sorted(found, key=lambda f: -f[2].max()):
+            own = codes[ends[i] - sizes[i] : ends[i]]
+            mark[own] = True
+            for j in other:
+                a, b = top(names[i]), top(names[j])
+                if a != b:
+                    shared = int(mark[codes[ends[j] - sizes[j] : ends[j]]].sum())
+                    if high * shared >= low * (sizes[i] + sizes[j] - shared):
+                        up[max(a, b)] = min(a, b)
+                        out.append((ids[i], ids[j]))
+            mark[own] = False
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def rest_links(rows: DataFrame, content: DataFrame, m: int = REGISTERS, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """(a, b): links between components within bands.  ``rows`` are (band, k,
+    size, set_id, root, n, registers), k being the band's place.
+
+    The registers say first which sets of a tile have a pair that may be
+    similar; only these come together again with their whole sets.  What
+    leaves a tile are members and links that join its components, never its
+    pairs.
+    """
+    tile = ["band", "x", "y"]
+    facts = ["k", "part", "set_id", "root", "n", "registers"]
+
+    def members(rows: pd.DataFrame) -> pd.DataFrame:
+        used = sorted({int(j) for i, other, _ in candidates(rows, m, low, high) for j in (i, *other)})
+        return rows.iloc[used]
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.repartition(*tile).sortWithinPartitions(*tile)
 
-    return dealt.mapInPandas(compare, "a long, b long")
+    kept = placed(tiles(rows).select(*tile, *facts)).mapInPandas(per_tile(members), "band long, x int, y int, k int, part int, set_id long, root long, n long, registers binary")
+    whole = cut(kept).join(content, "set_id").select(*tile, *facts, "hashes")
+    return placed(whole).mapInPandas(per_tile(lambda rows: tile_links(rows, m, low, high)), "a long, b long")
 
 
 def set_components(sets: DataFrame, docs: DataFrame, width: int = WIDTH, low: int = LOW, high: int = HIGH, m: int = REGISTERS) -> DataFrame:
@@ -322,7 +380,7 @@ def set_components(sets: DataFrame, docs: DataFrame, width: int = WIDTH, low: in
     rooted = active.join(state, "set_id")
     several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("band", "size")
     rows = rooted.join(several, "band").join(members.select("set_id", "n", "registers"), "set_id")
-    edges = cut(linked(cut(tiles(rows, m, low, high)), content, low, high))
+    edges = cut(rest_links(rows, content, m, low, high))
     return state if edges.isEmpty() else merged(state, edges)
 
 
