@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.text import month
+from corpusloom.plans.ranking import global_rank, running_sums
 
 # Caps, classes, prices and states.
 GPU_CAP, API_CAP = 40.0, 100.0
@@ -124,10 +125,15 @@ def last_open(ledger: DataFrame) -> DataFrame:
 def under_cap(rows: DataFrame, cap: float, most: int, group: list[str] | None = None) -> DataFrame:
     """Rows taken until the money before them reaches ``cap`` or ``most``
     rows are taken; the row that crosses the cap is kept.  ``group`` names
-    the independent runs, so that windows stay partitioned."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("pos")
-    before = F.coalesce(F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("spent_before", before).withColumn("nth", F.row_number().over(w)).where((F.col("spent_before") < cap) & (F.col("nth") <= most)).drop("nth")
+    the independent runs, each a window of its own; without it the rows are
+    one run, summed up range by range.  Positions are unique in a run."""
+    if group:
+        w = Window.partitionBy(*group).orderBy("pos")
+        before = F.coalesce(F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        summed = rows.withColumn("spent_before", before).withColumn("nth", F.row_number().over(w) - 1)
+    else:
+        summed = running_sums(rows, [F.col("pos")], {"spent_before": F.col("cost"), "nth": F.lit(1)})
+    return summed.where((F.col("spent_before") < cap) & (F.col("nth") < most)).drop("nth")
 
 
 def tail(lines: DataFrame, n: int) -> DataFrame:
@@ -158,8 +164,9 @@ def micro_batches(rows: DataFrame, size: int, group: list[str] | None = None) ->
     """Adds batch: rows in the order of ``pos``, ``size`` to a batch."""
     if size < 1:
         raise ValueError("a batch has one row at least")
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("pos")
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    if not group:
+        return global_rank(rows, [F.col("pos")], "_nth").withColumn("batch", F.floor((F.col("_nth") - 1) / size)).drop("_nth")
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy("pos")) - 1) / size))
 
 
 def run_ids(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from corpusloom import catalog, catalog_reports, catalog_runs  # noqa: F401
+from corpusloom import catalog, catalog_archived, catalog_reports, catalog_runs  # noqa: F401
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
