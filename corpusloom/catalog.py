@@ -115,7 +115,7 @@ def split_assign(spark, sf_dir):
 @register(f"WITH {SPLIT} SELECT split, count(*) AS n, sha256(string_agg(fp, chr(10) ORDER BY fp)) AS hash FROM ranked GROUP BY split")
 def split_hash(spark, sf_dir):
     split = corpus.assign_splits(cut(records(spark, sf_dir).select("fingerprint")))
-    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"), corpus.set_hash(F.col("fingerprint")).alias("hash"))
+    return corpus.split_hashes(split)
 
 
 @register(f"WITH {SPLIT} SELECT fp AS fingerprint FROM ranked WHERE bare")

@@ -121,6 +121,20 @@ def stream_admission(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("budget", "month", "seq", "refusal")
 
 
+@register(
+    """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS comparison, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(event_id // 3 AS VARCHAR) AS submission, event_id AS seq FROM events),
+ f AS (SELECT comparison, week, submission, min(seq) AS first FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY comparison, week ORDER BY first) AS nth FROM f)
+ SELECT comparison, week, submission, seq, seq <> first AS repeated, nth <= 5 AS accepted, CAST(greatest(0, 5 - (SELECT max(o.nth) FROM r o WHERE o.comparison = r.comparison AND o.week = r.week AND o.first <= seq)) AS INTEGER) AS remaining
+ FROM s JOIN r USING (comparison, week, submission)"""
+)
+def stream_weekly_quota(spark, sf_dir):
+    """Five submissions of a comparison a week, counted in keyed state."""
+    e = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("comparison"), F.floor(F.col("event_id") / 3).cast("string").alias("submission"), F.col("event_id").alias("seq"), "ts")
+    folder = scratch(spark, "quota")
+    budgets.weekly(e).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @register(
     f"""WITH {LOG}, live AS (SELECT * REPLACE (CASE WHEN status = 'completed' THEN 'completed' ELSE 'running' END AS status) FROM log), {STATE.replace('FROM log', 'FROM live')},
  due AS (SELECT run_id FROM state WHERE status = 'running' AND started_at IS NOT NULL) SELECT (SELECT count(*) FROM due) AS reaped, (SELECT count(DISTINCT run_id) FROM log) AS runs, 0 AS reaped_twice"""

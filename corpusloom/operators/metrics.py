@@ -125,8 +125,11 @@ def script_rate(text: Column) -> Column:
 
 
 def language_integrity(docs: DataFrame, low: float | None, high: float | None) -> DataFrame:
-    """One row: the mean share of other scripts, and whether it is in range."""
-    mean = docs.agg(F.avg(script_rate(F.coalesce("text", F.lit("")))).alias("mean_script_rate"))
+    """One row: the mean share of other scripts, and whether it is in range.
+    An empty table has no mean and is an error."""
+    mean = F.avg(script_rate(F.coalesce("text", F.lit(""))))
+    none = F.raise_error(F.lit("language integrity of no texts")).cast("double")
+    mean = docs.agg(F.when(F.count(F.lit(1)) > 0, mean).otherwise(none).alias("mean_script_rate"))
     return mean.withColumn("language_integrity", in_range(F.col("mean_script_rate"), F.lit(low).cast("double"), F.lit(high).cast("double")))
 
 
@@ -156,6 +159,37 @@ def facts_of(outline: Column) -> Column:
     return F.flatten(F.transform(outline, lambda o: F.concat(F.coalesce(o["supported_facts"], F.array().cast("array<string>")), F.coalesce(o["quotations"], F.array().cast("array<string>")))))
 
 
+#: Keys of an outline's objects that hold facts, in their order.
+FACT_KEYS = ("supported_facts", "facts", "quotations")
+
+
+def free_facts(rows: DataFrame, key: str, outline: str = "outline") -> DataFrame:
+    """(key, facts) of outlines of any shape, as JSON text or VARIANT: null
+    has none, a text is one, an object has those of FACT_KEYS in their
+    order, a list those of its elements.  Numbers and truth values hold no
+    facts.  ``key`` is unique.
+
+    The tree is walked level by level inside the engine: every round spreads
+    the lists and objects that are left over one more level, without a
+    shuffle, and a fact remembers its way down, which orders it.
+    """
+    level = rows.select(key, F.array().cast("array<int>").alias("way"), F.try_parse_json(F.col(outline).cast("string")).alias("v"))
+    facts = None
+    while True:
+        kind = F.schema_of_variant("v")
+        kinds = cut(level.where("v IS NOT NULL").withColumn("kind", kind))
+        found = kinds.where("kind = 'STRING'").select(key, "way", F.try_variant_get("v", "$", "string").alias("fact"))
+        facts = found if facts is None else facts.unionByName(found)
+        lists = kinds.where("startswith(kind, 'ARRAY')").select(key, "way", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "child"))
+        named = F.array(*[F.try_variant_get("v", f"$.{k}", "variant") for k in FACT_KEYS])
+        objects = kinds.where("startswith(kind, 'OBJECT')").select(key, "way", F.posexplode(named).alias("at", "child"))
+        level = lists.unionByName(objects).select(key, F.concat("way", F.array("at")).alias("way"), F.col("child").alias("v"))
+        if kinds.where("startswith(kind, 'ARRAY') OR startswith(kind, 'OBJECT')").isEmpty():
+            break
+    own = facts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("way", "fact"))), lambda x: x["fact"]).alias("facts"))
+    return rows.select(key).join(own, key, "left").select(key, F.coalesce("facts", F.array().cast("array<string>")).alias("facts"))
+
+
 def fact_recall(pairs: DataFrame, bar: float = 0.8) -> DataFrame:
     """(text, facts): share of facts covered by their own text; 1 if none."""
     spread = with_tokens(pairs).select("tokens", F.explode("facts").alias("fact"))

@@ -2,6 +2,7 @@
 comparisons of corpora against NumPy."""
 
 import io
+import json
 import math
 from contextlib import redirect_stdout
 
@@ -103,3 +104,50 @@ def test_token_reports(spark):
     shifts = archived.token_shifts(made, human, 2).orderBy("rank").collect()
     assert [r["rank"] for r in shifts] == [1, 2] and shifts[0]["cumulative"] < shifts[1]["cumulative"] <= 1.0
     assert abs(archived.token_divergence(made, made).first()[0]) < 1e-12 and archived.token_divergence(made.limit(0), made.limit(0)).first()[0] == 0.0
+
+
+def test_free_form_facts(spark):
+    from corpusloom.operators import metrics
+
+    def plain(value):
+        if isinstance(value, str):
+            return [value]
+        if isinstance(value, dict):
+            return [f for k in ("supported_facts", "facts", "quotations") for f in plain(value.get(k))]
+        return [f for x in value for f in plain(x)] if isinstance(value, list) else []
+
+    cases = [None, "one", ["a", None, ["b", ["c", {"facts": "d"}]]], {"quotations": ["q"], "facts": {"facts": ["f"], "supported_facts": "s"}, "other": "no"}, {}, [], 5, [True, {"supported_facts": [1, "x"]}], {"facts": [{"quotations": "deep"}] * 12}]
+    rows = [(i, json.dumps(c)) for i, c in enumerate(cases)] + [(99, None)]
+    got = {r["i"]: r["facts"] for r in metrics.free_facts(spark.createDataFrame(rows, "i int, outline string"), "i").collect()}
+    assert got == {i: plain(c) for i, c in enumerate(cases)} | {99: []}
+    variants = spark.createDataFrame(rows, "i int, t string").select("i", F.try_parse_json("t").alias("outline"))
+    assert {r["i"]: r["facts"] for r in metrics.free_facts(variants, "i").collect()} == got
+
+
+def test_split_hashes_stream(spark):
+    import hashlib
+
+    from corpusloom.operators import corpus
+
+    prints = {s: sorted(hashlib.sha256(f"{s}{i}".encode()).hexdigest() for i in range(n)) for s, n in (("dev", 700), ("train", 2300), ("a", 1))}
+    table = spark.createDataFrame([(s, p) for s, own in prints.items() for p in own], "split string, fingerprint string").repartition(9)
+    got = {r["split"]: (r["n"], r["hash"]) for r in corpus.split_hashes(table).collect()}
+    assert got == {s: (len(own), hashlib.sha256("\n".join(own).encode()).hexdigest()) for s, own in prints.items()}
+
+
+def test_reports_without_numbers_json_cannot_hold(spark, tmp_path):
+    from corpusloom.sources import io as sinks
+
+    nan = F.lit(float("nan"))
+    good = spark.range(1).select(F.lit(1.0).alias("x"), F.array(F.lit(0.5)).alias("ci"), F.struct(F.array(F.struct(F.lit(2.0).alias("y"))).alias("z")).alias("s"), F.lit("NaN").alias("t"))
+    sinks.write_report(good, f"{tmp_path}/good")
+    for column, value in (("x", nan), ("x", F.lit(float("inf"))), ("ci", F.array(F.lit(0.5), nan)), ("s", F.struct(F.array(F.struct(nan.alias("y"))).alias("z")))):
+        with pytest.raises(Exception, match="NaN or infinite"):
+            sinks.write_report(good.withColumn(column, value), f"{tmp_path}/bad")
+
+
+def test_no_texts_have_no_integrity(spark):
+    from corpusloom.operators import metrics
+
+    with pytest.raises(Exception, match="no texts"):
+        metrics.language_integrity(spark.createDataFrame([], "text string"), 0.0, 1.0).collect()
