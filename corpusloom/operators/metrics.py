@@ -173,7 +173,8 @@ def free_facts(rows: DataFrame, key: str, outline: str = "outline") -> DataFrame
     the lists and objects that are left over one more level, without a
     shuffle, and a fact remembers its way down, which orders it.
     """
-    level = rows.select(key, F.array().cast("array<int>").alias("way"), F.try_parse_json(F.col(outline).cast("string")).alias("v"))
+    tree = F.col(outline) if dict(rows.dtypes)[outline] == "variant" else F.try_parse_json(outline)
+    level = rows.select(key, F.array().cast("array<int>").alias("way"), tree.alias("v"))
     facts = None
     while True:
         kind = F.schema_of_variant("v")
