@@ -333,6 +333,12 @@ def made_up(number: int) -> tuple[str, list[int]]:
     if not bare and rng.random() < 0.3:
         counted(lambda: parts.append((f"<aside>{words(among(3, 60))}</aside>", 1)), 0)
         counted(text, 1)
+    for element, named in (("nav", ""), ("div", ' class="share"'), ("form", "")):
+        if rng.random() < 0.25:
+            parts.append((f"<{element}{named}>", 0))
+            counted(lambda: menu("") if rng.random() < 0.5 else note("", 2, 40), 0)
+            parts.append((f"</{element}>", 0))
+            counted(text, 1)
     parts.append((close, 0))
     for _ in range(0 if bare else among(0, 3)):
         counted(lambda: note(outside[1], 3, 80), 0)
@@ -341,9 +347,12 @@ def made_up(number: int) -> tuple[str, list[int]]:
         if rng.random() < 0.5:
             counted(lambda: note(outside[1], 4, 14 if bare else 80), 0)
             counted(lambda: menu(outside[1]), 0)
+    element = "footer" if rng.random() < 0.4 else "div"
+    parts.append((f"<{element}>", 0))
     if rng.random() < 0.7:
         counted(lambda: menu(outside[3]), 0)
         counted(lambda: note(outside[3], 3, 12), 0)
+    parts.append((f"</{element}>", 0))
     return "<html><body>" + "".join(p for p, _ in parts) + "</body></html>", labels
 
 
