@@ -254,10 +254,10 @@ def digest(books: list[np.ndarray]) -> str:
 def train(spark: SparkSession, vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: float = SCALE) -> tuple[DataFrame | None, list[np.ndarray]]:
     """The ``forest`` of the kept vectors and the trained codebooks; (None,
     []) if no vector is kept."""
-    value = F.col("embedding")
+    value = F.col("embedding").cast("array<double>")
     whole = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     label = F.col("label") if "label" in vectors.columns else F.lit(None).cast("int").alias("label")
-    kept = vectors.select("vec_id", label, value.cast("array<double>").alias("embedding")).where(value.isNotNull() & (F.size(value) > 0) & whole)
+    kept = vectors.select("vec_id", label, value.alias("embedding")).where(value.isNotNull() & (F.size(value) > 0) & whole)
     order = [F.col("vec_id").asc_nulls_last(), F.col("embedding")]
     first = kept.orderBy(*order).first()
     if first is None:
