@@ -271,8 +271,10 @@ def per_tile(of: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[p
                 continue
             key = b[["band", "x", "y"]].to_numpy()
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            for i, j in zip(start[:-1], start[1:]):
-                yield of(b.iloc[i:j])
+            # one answer for all tiles of a batch: most are small or empty
+            made = [x for x in (of(b.iloc[i:j]) for i, j in zip(start[:-1], start[1:])) if len(x)]
+            if made:
+                yield pd.concat(made, ignore_index=True)
             rest = b.iloc[start[-1] :]
         if rest is not None and len(rest):
             yield of(rest)
