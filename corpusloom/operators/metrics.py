@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.text import casefold, in_range, ngrams, overlap, paragraphs, sentences, tokens
@@ -204,41 +208,133 @@ def unsupported_rate(pairs: DataFrame, bar: float = 0.6, least: int = 4) -> Data
     return rows.agg(F.coalesce(F.avg((~backed).cast("double")), F.lit(0.0)).alias("unsupported_rate"))
 
 
+#: Words of a piece of documents whose n-grams a task counts at once, and n-grams that meet in a bucket.
+PIECE, BUCKET = 1_000_000, 2_000_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers whose every bit depends on all bits of ``x``."""
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as all their lowest bytes, then the next ones: the highest of
+    small numbers are alike and compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def two_largest(h: np.ndarray, doc: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each n-gram ``h`` the two entries with the largest counts, sorted
+    by n-gram, the largest first; and which entries are the largest."""
+    by = np.lexsort((-c, h))
+    h, doc, c = h[by], doc[by], c[by]
+    top = np.append(True, h[1:] != h[:-1])
+    kept = top | np.append(False, top[:-1])
+    return h[kept], doc[kept], c[kept], top[kept]
+
+
+def lost_grams(words: DataFrame, order: int) -> DataFrame:
+    """(nth, lost): how many of a document's n-grams of each order no other
+    document has as often, of (nth, words) with words as 64-bit hashes;
+    ``nth`` counts on within a partition.
+
+    A piece of documents is counted where it lies.  What leaves the task is a
+    row for each bucket of n-gram hashes, which holds the piece's two largest
+    counts of each n-gram as sorted 64-bit hashes, and a bucket answers with
+    a row of counts for each piece.  So the exchange takes some eight bytes
+    for a different n-gram of a document, and nothing is joined back.
+    """
+    total = words.agg(F.sum(F.size("words"))).first()[0] or 0
+    bits = max(0, (total - 1) // BUCKET).bit_length()
+    piece, edges = PIECE, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+
+    def counted(values: np.ndarray, lens: np.ndarray) -> Iterator[tuple]:
+        doc, end = np.repeat(np.arange(len(lens), dtype=np.uint32), lens), np.repeat(np.cumsum(lens), lens)
+        g = mixed(values)
+        for n in range(1, order + 1):
+            if n > 1:
+                g = mixed(g[:-1] * ODD + values[n - 1 :])
+            whole = np.arange(n, n + len(g)) <= end[: len(g)]
+            h, d = g[whole], doc[: len(g)][whole]
+            if not len(h):
+                return
+            by = np.argsort(h, kind="stable")
+            h, d = h[by], d[by]
+            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
+            h, d, c, _ = two_largest(h[new], d[new], np.diff(np.append(new, len(h))).astype(np.int32))
+            at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+            for b, (low, high) in enumerate(zip(at, at[1:])):
+                if low < high:
+                    own = h[low:high]
+                    yield n, b, len(lens), planes(np.append(own[:1], np.diff(own))), planes(d[low:high]), planes(c[low:high])
+
+    names = ["first", "n", "bucket", "docs", "h", "doc", "c"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nth = batch.column(0).to_numpy()
+            lens = pc.list_value_length(batch.column(1)).to_numpy()
+            values = batch.column(1).flatten().to_numpy().view(np.uint64)
+            ends = np.cumsum(lens)
+            low, past = 0, 0
+            while low < len(lens):
+                high = max(low + 1, int(np.searchsorted(ends, past + piece, "right")))
+                rows = [(nth[low], *r) for r in counted(values[past : ends[high - 1]], lens[low:high])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+                low, past = high, int(ends[high - 1])
+
+    def clipped(part: pd.DataFrame) -> pd.DataFrame:
+        base = np.append(0, np.cumsum(part["docs"]))
+        h = np.concatenate([np.cumsum(unplaned(x, np.uint64), dtype=np.uint64) for x in part["h"]])
+        doc = np.concatenate([unplaned(x, np.uint32) + start for x, start in zip(part["doc"], base)])
+        h, doc, c, top = two_largest(h, doc, np.concatenate([unplaned(x, np.int32) for x in part["c"]]))
+        second = np.where(np.append(top[1:], True), 0, np.append(c[1:], 0))
+        lost = np.bincount(doc[top], (c - second)[top], base[-1]).astype(np.int32)
+        return pd.DataFrame({"first": part["first"], "n": part["n"], "lost": [planes(lost[i:j]) for i, j in zip(base, base[1:])]})
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        lost = np.zeros((len(part["lost"].iloc[0]) // 4, order), np.int64)
+        for n, x in zip(part["n"], part["lost"]):
+            lost[:, n - 1] += unplaned(x, np.int32)
+        return pd.DataFrame({"nth": part["first"].iloc[0] + np.arange(len(lost)), "lost": list(lost)})
+
+    rows = words.select("nth", "words").mapInArrow(spread, "first long, n int, bucket int, docs int, h binary, doc binary, c binary")
+    answers = rows.groupBy("n", "bucket").applyInPandas(clipped, "first long, n int, lost binary")
+    return answers.groupBy("first").applyInPandas(summed, "nth long, lost array<long>")
+
+
 def bleu_vs_rest(docs: DataFrame, key: str, text: str = "text", order: int = 4) -> DataFrame:
     """(key, bleu): each document against all others, without a cross join.
 
     A document's count of an n-gram is clipped at the largest count among
     the others.  That takes something away only from the one document that
     alone has the largest count of all: the distance to the second.  So an
-    n-gram's two largest counts are all that is needed, map tasks pass on no
-    more than two of each, and nothing is joined back.  The closest other
-    length comes from the histogram of lengths.
+    n-gram's two largest counts are all that is needed, and map tasks pass on
+    no more than two of each.  64 bits stand for an n-gram.  The closest
+    other length comes from the histogram of lengths.
     """
-    words = cut(with_tokens(docs, text).select(key, "tokens", F.size("tokens").alias("len")).repartition(key))
-    at = F.col("at")
-
-    def hashed(n: int) -> Column:
-        # 128 bits stand for an n-gram: enough that no two of any corpus are taken for one
-        own = [F.get("tokens", at + k) for k in range(n)]
-        return F.when(at + n <= F.col("len"), F.struct(F.lit(n).alias("o"), F.xxhash64(F.lit(n), *own).alias("g"), F.xxhash64(F.lit(-n), *own).alias("h")))
-
-    spread = words.select(key, "tokens", "len", F.explode(F.when(F.col("len") > 0, F.sequence(F.lit(0), F.col("len") - 1))).alias("at"))
-    grams = spread.select(key, F.explode(F.array(*[hashed(n) for n in range(1, order + 1)])).alias("x")).where("x IS NOT NULL").select(key, "x.*")
-    # counted where the document is: the words are dealt by document
-    own = grams.groupBy(key, "o", "g", "h").agg(F.count(F.lit(1)).alias("c"))
-    two = own.withColumn("r", F.row_number().over(Window.partitionBy("o", "g", "h").orderBy(F.desc("c"), key))).where("r <= 2")
-    top = two.groupBy("o", "g", "h").agg(F.max("c").alias("c"), F.min_by(key, "r").alias(key), F.when(F.count(F.lit(1)) > 1, F.min("c")).otherwise(0).alias("second"))
-    lost = top.where("c > second").groupBy(key, "o").agg(F.sum(F.col("c") - F.col("second")).alias("lost"))
-    hist = words.groupBy("len").agg(F.count(F.lit(1)).alias("k"))
+    hashes = with_tokens(docs, text).select(key, F.transform("tokens", lambda w: F.xxhash64(w)).alias("words"))
+    words = cut(hashes.withColumn("nth", F.monotonically_increasing_id()))
+    lengths = words.select(key, "nth", F.size("words").alias("len"))
+    hist = lengths.groupBy("len").agg(F.count(F.lit(1)).alias("k"))
     w = Window.orderBy("len")  # one row for each distinct length
     prev, nxt = F.lag("len").over(w), F.lead("len").over(w)
     near = hist.select("len", F.when(F.col("k") > 1, F.col("len")).when(nxt.isNull() | (F.col("len") - prev <= nxt - F.col("len")), F.coalesce(prev, nxt)).otherwise(nxt).alias("r"))
-    orders = words.join(near, "len").select(key, "len", "r", F.explode(F.when(F.col("len") > 0, F.sequence(F.lit(1), F.least(F.lit(order), "len")))).alias("o"))
-    hit = F.col("len") - F.col("o") + 1 - F.coalesce("lost", F.lit(0))
-    scored = orders.join(lost, [key, "o"], "left").select(key, "len", "r", F.log((hit + 1) / (F.col("len") - F.col("o") + 2)).alias("lp"))
+    rows = lengths.join(near, "len").join(lost_grams(words, order), "nth", "left")
+    lost = lambda o: F.coalesce(F.get("lost", F.lit(o - 1)), F.lit(0))
+    logs = [F.when(F.col("len") >= o, F.log((F.col("len") - o + 2 - lost(o)) / (F.col("len") - o + 2))).otherwise(0.0) for o in range(1, order + 1)]
     brevity = F.when(F.col("len") > F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("len")))
-    bleu = scored.groupBy(key, "len", "r").agg(F.exp(F.avg("lp")).alias("g")).select(key, (brevity * F.col("g")).alias("bleu"))
-    return words.select(key).join(bleu, key, "left").select(key, F.coalesce("bleu", F.lit(0.0)).alias("bleu"))
+    bleu = brevity * F.exp(sum(logs[1:], logs[0]) / F.least(F.lit(order), "len"))
+    return rows.select(key, F.when(F.col("len") > 0, F.coalesce(bleu, F.lit(0.0))).otherwise(0.0).alias("bleu"))
 
 
 def self_bleu(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
