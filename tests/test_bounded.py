@@ -4,7 +4,11 @@ import math
 import random
 from collections import Counter
 
-from corpusloom.operators import metrics
+import numpy as np
+from pyspark.sql import functions as F
+
+from corpusloom.operators import archived, evaluation, events, metrics
+from corpusloom.streaming import runs
 
 
 def plain_bleu(texts, order=4):
@@ -33,3 +37,63 @@ def test_bleu_by_pieces_and_buckets(spark, monkeypatch):
     table = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "pos string, text string").repartition(3)
     got = {r["pos"]: r["bleu"] for r in metrics.bleu_vs_rest(table, "pos").collect()}
     assert all(math.isclose(got[f"k{i}"], x, abs_tol=1e-12) for i, x in enumerate(plain_bleu(texts)))
+
+
+def test_kernel_distance_of_counted_vectors_by_blocks(spark, monkeypatch):
+    """Vectors with counts, block by block, are what the repeated vectors are."""
+    monkeypatch.setattr(evaluation, "BLOCK", 5)
+    monkeypatch.setattr(evaluation, "STRIP", 8)
+    monkeypatch.setattr(evaluation, "NEAR", 2)
+    rng = np.random.default_rng(4)
+    for v in (rng.integers(0, 9, (40, 3)).astype(float), rng.normal(0, 1, (40, 3)) + 100):
+        n, side = rng.integers(1, 4, 40), np.arange(40) % 2
+        table = spark.createDataFrame([(s, int(k), i, float(m), x.tolist()) for s in (3, 8) for i, (k, m, x) in enumerate(zip(side, n, v))], "set int, side int, pos long, n double, v array<double>").repartition(3)
+        z, k = np.repeat(v, n, 0), np.repeat(side, n)
+        d = ((z[:, None] - z[None]) ** 2).sum(-1)
+        middle = np.median(d[d > 0])
+        kern = sum(np.exp(-d / (2 * middle * c * c)) for c in evaluation.BANDWIDTHS) / 5
+        own = [kern[np.ix_(k == s, k == s)][np.triu_indices((k == s).sum(), 1)].mean() for s in (0, 1)]
+        want = sum(own) - 2 * kern[np.ix_(k == 0, k == 1)].mean()
+        got = {r["set"]: r["mmd"] for r in evaluation.mmds(table).collect()}
+        assert got.keys() == {3, 8} and all(math.isclose(x, want, rel_tol=1e-9, abs_tol=1e-12) for x in got.values())
+
+
+def test_human_floor_beyond_one_matrix(spark, monkeypatch):
+    """By blocks, the floor is what one matrix gives, of whole numbers, whose distances do not round."""
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.integers(0, 50, (61, 3)).astype(float))], "pos long, v array<double>")
+    want = evaluation.human_floor(table, 4).first()
+    monkeypatch.setattr(evaluation, "WHOLE", 10)
+    monkeypatch.setattr(evaluation, "BLOCK", 4)
+    got = evaluation.human_floor(table, 4).first()
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want))
+
+
+def test_transitions_of_a_run_in_several_parts(spark, tmp_path):
+    """A run's events are judged by seq though they come in many Arrow batches."""
+    rows = spark.range(300).select(F.lit("r").alias("run_id"), (299 - F.col("id")).alias("seq"), F.element_at(F.array(*[F.lit(x) for x in ("reserved", "running", "completed")]), (F.col("id") % 3 + 1).cast("int")).alias("status"))
+    rows.write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        out = runs.state_machine(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, events.transitions(rows).select("run_id", "seq", "before", "status", "legal").collect()))
+
+
+def test_chrf_stays_with_its_pair(spark):
+    pairs = spark.createDataFrame([(0, "a 😀 bcb", "ab😀b"), (1, "ab", "ba")], "i int, generated string, human string")
+    scored = archived.chrf(pairs, "i")
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+    def plain(x, y):
+        got = []
+        for n in range(1, 7):
+            a, b = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (x, y))
+            if a and b:
+                got.append((sum((a & b).values()) / sum(a.values()), sum((a & b).values()) / sum(b.values())))
+        p, r = (sum(v) / len(v) for v in zip(*got))
+        return 500 * p * r / (4 * p + r)
+
+    assert all(math.isclose(r["chrf"], w) for r, w in zip(scored.orderBy("i").collect(), (plain("a😀bcb", "ab😀b"), plain("ab", "ba"))))
