@@ -7,13 +7,13 @@ so each definition is stated in full with its function.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions.text import chars
 from corpusloom.operators.metrics import with_tokens
 from corpusloom.session import cut
 
@@ -30,26 +30,27 @@ def chrf(pairs: DataFrame, key: str, made: str = "generated", human: str = "huma
     text against its reference, white space left out.
 
     Precision and recall are averaged over the orders that both texts have;
-    without any the score is 0.  N-grams are counted as multisets, where
-    their pair is, by 128 bits of hash; a null text is an empty one.
+    without any the score is 0.  N-grams are counted as multisets, one order
+    at a time where their pair is, and never leave it; a null text is an
+    empty one.
     """
-    letters = lambda c: chars(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", ""))
-    texts = pairs.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), letters(c).alias("x")) for i, c in enumerate((made, human))])).alias("t")).select(key, "t.*")
-    placed = texts.select(key, "side", "x", F.size("x").alias("len")).repartition(key)
-    at = F.col("at")
-
-    def hashed(n: int) -> Column:
-        own = [F.get("x", at + k) for k in range(n)]
-        return F.when(at + n <= F.col("len"), F.struct(F.lit(n).alias("o"), F.xxhash64(F.lit(n), *own).alias("g"), F.xxhash64(F.lit(-n), *own).alias("h")))
-
-    spread = placed.where("len > 0").select(key, "side", "x", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("at"))
-    grams = spread.select(key, "side", F.explode(F.array(*[hashed(n) for n in range(1, order + 1)])).alias("y")).where("y IS NOT NULL").select(key, "side", "y.*")
-    count = grams.groupBy(key, "o", "g", "h").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    per = count.groupBy(key, "o").agg(F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0 AND b > 0")
-    p, r = F.avg(F.col("both") / F.col("a")), F.avg(F.col("both") / F.col("b"))
-    mean = per.groupBy(key).agg(p.alias("p"), r.alias("r"))
-    score = F.when(F.col("p") + F.col("r") > 0, 100 * (1 + beta**2) * F.col("p") * F.col("r") / (beta**2 * F.col("p") + F.col("r"))).otherwise(0.0)
-    return pairs.select(key).join(mean.select(key, score.alias("chrf")), key, "left").select(key, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
+
+    def of_pair(x: str, y: str) -> float:
+        p, r = [], []
+        for n in range(1, min(order, len(x), len(y)) + 1):
+            a, b = (Counter([t[i : i + n] for i in range(len(t) - n + 1)]) for t in (x, y))
+            both = sum(min(k, b[g]) for g, k in a.items() if g in b)
+            p.append(both / (len(x) - n + 1))
+            r.append(both / (len(y) - n + 1))
+        p, r = (sum(v) / len(v) if v else 0.0 for v in (p, r))
+        return 100 * (1 + beta**2) * p * r / (beta**2 * p + r) if p + r > 0 else 0.0
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([of_pair(*t) for t in zip(x, y)], dtype=float)
+
+    letters = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", "")
+    return pairs.select(key, score(letters(made), letters(human)).alias("chrf"))
 
 
 def overused(made: DataFrame, human: DataFrame, floor: float = FLOOR) -> DataFrame:
