@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -43,14 +44,25 @@ def feature_counts(docs: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
     return out.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 
 
-def hash_buckets(dim: int):
-    """blake2b-8 of a feature, big endian, modulo ``dim`` (no JVM builtin)."""
+def hash_buckets(docs: DataFrame, dim: int, low: int = 1, high: int = 3) -> DataFrame:
+    """(bucket, n): word n-grams by blake2b-8 of the n-gram, big endian,
+    modulo ``dim`` (no JVM builtin).  A task counts in ``dim`` numbers, so no
+    n-gram leaves it and it holds no more whatever its input."""
 
-    @F.pandas_udf("int")
-    def bucket(features: pd.Series) -> pd.Series:
-        return features.map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") % dim).astype("int32")
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @functools.lru_cache(1 << 17)
+        def bucket(feature: str) -> int:
+            return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big") % dim
 
-    return bucket
+        total = [0] * dim
+        for batch in batches:
+            for words in batch["tokens"]:
+                for n in range(low, high + 1):
+                    for gram in zip(*[words[k:] for k in range(n)]):
+                        total[bucket(" ".join(gram))] += 1
+        yield pd.DataFrame({"bucket": range(dim), "n": total}).query("n > 0")
+
+    return with_tokens(docs).select("tokens").mapInPandas(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def frequencies(counts: DataFrame, key: str) -> DataFrame:
@@ -67,14 +79,13 @@ def l2(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def lexical_l2(a: DataFrame, b: DataFrame, dim: int = 4096, features: DataFrame | None = None, low: int = 1, high: int = 3) -> DataFrame:
     """Distance over hashed n-grams, or over the listed ``features`` only.
-    Hashing sees each distinct n-gram once."""
+    Hashed n-grams are counted by bucket where their text is."""
     sides = []
     for docs in (a, b):
-        counts = feature_counts(docs, low, high)
         if features is not None:
-            sides.append(frequencies(cut(counts.join(features.select("feature").distinct(), "feature")), "feature"))
+            sides.append(frequencies(cut(feature_counts(docs, low, high).join(features.select("feature").distinct(), "feature")), "feature"))
         else:
-            sides.append(frequencies(cut(counts.groupBy(hash_buckets(dim)("feature").alias("bucket")).agg(F.sum("n").alias("n"))), "bucket"))
+            sides.append(frequencies(cut(hash_buckets(docs, dim, low, high)), "bucket"))
     return l2(*sides, "feature" if features is not None else "bucket")
 
 
@@ -203,8 +214,13 @@ def fact_recall(pairs: DataFrame, bar: float = 0.8) -> DataFrame:
 
 def unsupported_rate(pairs: DataFrame, bar: float = 0.6, least: int = 4) -> DataFrame:
     """Share of claims (sentences of ``least`` tokens) no fact supports."""
-    rows = pairs.select(F.transform("facts", folded).alias("facts"), F.explode(sentences(F.coalesce("text", F.lit("")))).alias("s")).withColumn("claim", folded(F.col("s"))).where(F.size("claim") >= least)
-    backed = F.exists("facts", lambda f: F.greatest(overlap(F.col("claim"), f), overlap(f, F.col("claim"))) >= bar)
+    hashed = lambda words: F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    # facts are folded once for a text, below the rows of its claims
+    texts = pairs.select(F.transform("facts", lambda f: hashed(folded(f))).alias("facts"), F.coalesce("text", F.lit("")).alias("text"))
+    claims = texts.select("facts", F.explode(sentences(F.col("text"))).alias("s")).withColumn("words", folded(F.col("s"))).where(F.size("words") >= least)
+    rows = claims.select("facts", hashed(F.col("words")).alias("claim"))
+    fewer = lambda f: F.least(F.size("claim"), F.size(f))
+    backed = F.exists("facts", lambda f: F.when(fewer(f) == 0, 1.0).otherwise(F.size(F.array_intersect("claim", f)) / fewer(f)) >= bar)
     return rows.agg(F.coalesce(F.avg((~backed).cast("double")), F.lit(0.0)).alias("unsupported_rate"))
 
 

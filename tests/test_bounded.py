@@ -1,5 +1,6 @@
 """Operators that stay small as their input grows, against plain definitions."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.operators import archived, evaluation, events, metrics
-from corpusloom.streaming import runs
+from corpusloom.streaming import budgets, runs
 
 
 def plain_bleu(texts, order=4):
@@ -97,3 +98,48 @@ def test_chrf_stays_with_its_pair(spark):
         return 500 * p * r / (4 * p + r)
 
     assert all(math.isclose(r["chrf"], w) for r, w in zip(scored.orderBy("i").collect(), (plain("a😀bcb", "ab😀b"), plain("ab", "ba"))))
+
+
+def test_facts_are_folded_once_for_a_text(spark):
+    pairs = spark.createDataFrame([("The cat sat sat down. Pigs fly over moons. Ok.", ["the cat sat", "THE cat sat down", ""]), (None, [])], "text string, facts array<string>")
+    rate = metrics.unsupported_rate(pairs.limit(1))
+    assert rate.first()[0] == 0.0  # a fact without words supports every claim
+    rate = metrics.unsupported_rate(pairs.select("text", F.slice("facts", 1, 2).alias("facts")))
+    assert rate.first()[0] == 0.5
+    plan = rate._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan[plan.index("Generate explode") :]
+
+
+def test_hashed_ngrams_are_counted_where_their_text_is(spark):
+    table = spark.createDataFrame([("a b a b c",), ("B c",), (None,)], "text string").repartition(2)
+    counts = metrics.hash_buckets(table, 64)
+    want = Counter()
+    for words in ("a b a b c".split(), "b c".split()):
+        for n in (1, 2, 3):
+            for gram in zip(*[words[k:] for k in range(n)]):
+                want[int.from_bytes(hashlib.blake2b(" ".join(gram).encode(), digest_size=8).digest(), "big") % 64] += 1
+    assert {r["bucket"]: r["n"] for r in counts.collect()} == want
+
+
+def test_quota_reads_and_adds_to_its_answers_once():
+    class Answers(list):
+        calls = 0
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            self.calls += 1
+            return iter(self)
+
+        def appendList(self, rows):  # noqa: N802
+            self.calls += 1
+            self.extend(rows)
+
+    quota = budgets.Quota(2)
+    quota.answers = Answers()
+    for seqs, want in (((3, 1, 2, 0), [(0, False, True, 1), (1, False, True, 0), (2, True, True, 0), (3, False, False, 0)]), ((4, 5), [(4, True, True, 0), (5, True, False, 0)])):
+        names = {0: "a", 1: "b", 2: "a", 3: "c", 4: "b", 5: "c"}
+        got = quota.handleInputRows(("x", None), iter({"seq": s, "submission": names[s]} for s in seqs), None)
+        assert [(r["seq"], r["repeated"], r["accepted"], r["remaining"]) for r in got] == want
+    assert quota.answers.calls == 3
