@@ -193,3 +193,21 @@ def test_modulo_pairs_count_over_gaps(spark):
     human = spark.createDataFrame([(5, "a"), (9, "b"), (40, "c")], "pos long, text string")
     made = spark.createDataFrame([(i,) for i in (1, 3, 4, 8, 90)], "pos long")
     assert sorted(map(tuple, evaluation.modulo_pairs(made, human).select("pos", "human").collect())) == [(1, "a"), (3, "b"), (4, "c"), (8, "a"), (90, "b")]
+
+
+def test_a_probe_counts_its_grams_once_and_keeps_none_of_them(spark, monkeypatch):
+    from collections import Counter
+
+    kept, cut = [], evaluation.cut
+    monkeypatch.setattr(evaluation, "cut", lambda df: kept.append(df.dtypes) or cut(df))
+    texts = [(i, i % 2, ("Ab cd " if i % 2 else "xy zu ") * 3 + "ok" * i) for i in range(8)] + [(8, 0, None), (9, 1, "")]
+    table = spark.createDataFrame(texts, "pos long, label int, text string")
+    got = {r["pos"]: (r["label"], r["score"]) for r in evaluation.probe(table, 2, 20).collect()}
+    assert {i: label for i, (label, _) in got.items()} == {i: label for i, label, _ in texts} and all(0 < x < 1 for _, x in got.values())
+    assert not [t for t in kept if "array<string>" in dict(t).values()]
+    fold = {r["pos"]: r["fold"] for r in evaluation.folds(table, 2).collect()}
+    read = evaluation.vocabularies(evaluation.gram_totals(evaluation.folds(table, 2).select("fold", F.coalesce(F.lower("text"), F.lit("")).alias("text")), 2), 2, 20)
+    for f in range(2):
+        own = [Counter(t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)) for t in ((t or "").lower() for i, _, t in texts if fold[i] != f)]
+        best = sorted(sum(own, Counter()).items(), key=lambda x: (-x[1], x[0]))[:20]
+        assert read[f] == {g: sum(g in c for c in own) for g, _ in best}
