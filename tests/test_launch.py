@@ -215,6 +215,19 @@ def test_a_dataset_that_was_changed_is_found_out(spark, tmp_path):
     assert not io.verify_dataset(changed, folder).first()["train_hash_matches"] or not io.verify_dataset(changed, folder).first()["dev_hash_matches"]
 
 
+def test_a_manifest_is_written_line_by_line(spark, tmp_path):
+    raw = spark.createDataFrame([(f'f"{i}', "u", None if i == 3 else "dé\n.example", f"Title {i}", f"Some text number {i}.") for i in range(9)], io.RAW)
+    built, folder = corpus.build(raw), str(tmp_path / "set")
+    rows = {r["split"]: r.asDict(True) for r in built["manifests"].collect()}
+    # no row that holds a whole manifest is made
+    built["manifests"] = spark.range(1).select(F.raise_error(F.lit("a whole manifest")).cast("string").alias("split"), F.lit("").alias("hash"))
+    io.write_dataset(built, folder, {"fixture": "x"})
+    for name, row in rows.items():
+        assert (tmp_path / "set" / f"{name}_manifest.json").read_text() == json.dumps(row, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+    ok = io.verify_dataset(built, folder).first()
+    assert len(rows) == 2 and ok["train_hash_matches"] and ok["dev_hash_matches"]
+
+
 def test_human_floor_of_an_odd_number(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(0, 1, (9, 3))
