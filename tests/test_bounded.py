@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.operators import archived, evaluation, events, metrics
+from corpusloom.session import cut
 from corpusloom.streaming import budgets, runs
 
 
@@ -144,3 +145,41 @@ def test_quota_reads_and_adds_to_its_answers_once():
         assert [(r["seq"], r["repeated"], r["accepted"], r["remaining"]) for r in got] == want
     # one call adds the first answers, one reads them; nothing new is added then
     assert quota.answers.calls == 2
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_medians_leave_two_bins_of_a_set(spark):
+    """The bins of a set are added up by tasks: the driver gets the wanted ones, not all of them."""
+    rng = np.random.default_rng(3)
+    rows = [(s, int(b), float(n), 0.0, math.inf) for s in (1, 4) for b, n in enumerate(rng.integers(1, 5, 400))]
+    table = spark.createDataFrame(rows * 2, "set int, bin long, n double, low double, high double").repartition(5)
+    got = {(r["set"], r["end"]): (r["bin"], r["nth"], r["n"]) for r in evaluation.wanted_bins(table, 0, None).collect()}
+    assert len(got) == 4
+
+    def plain(own, k):
+        for b, n in own:
+            if k < n:
+                return b, k, n
+            k -= n
+
+    for s in (1, 4):
+        own = [(b, 2 * n) for name, b, n, *_ in rows if name == s]
+        total = sum(n for _, n in own)
+        assert [got[s, e] for e in (0, 1)] == [plain(own, (total - 1) // 2), plain(own, total // 2)]
+    pending = {(1, 0): (7, 5.0), (1, 1): (7, 6.0), (4, 1): (3, 0.0)}
+    got = {(r["set"], r["end"]): (r["bin"], r["nth"], r["n"]) for r in evaluation.wanted_bins(table, 4, pending).collect()}
+    assert got == {key: plain([(b, 2 * n) for name, b, n, *_ in rows if name == key[0] and b >> 4 == p], k) for key, (p, k) in pending.items()}
+
+
+def test_resamples_are_not_broadcast(spark, monkeypatch):
+    """Fifty times the corpus comes of a table of fifty numbers, so its size is not known before."""
+    seen = []
+    monkeypatch.setattr(evaluation, "cut", lambda df: (seen.append(plan_of(df)), cut(df))[1])
+    table = spark.range(60).select(F.col("id").alias("pos"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    evaluation.human_floor(table, 3).first()
+    joined = [p for p in seen if "MapInPandas" in p]
+    assert joined and not any("BroadcastHashJoin" in p and "MapInPandas" in p[p.index("BroadcastExchange") :] for p in joined if "BroadcastExchange" in p)
+    assert all("SortMergeJoin" in p for p in joined)
