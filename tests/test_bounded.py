@@ -8,8 +8,10 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom import catalog_runs
 from corpusloom.operators import archived, evaluation, events, metrics
 from corpusloom.session import cut
+from corpusloom.sources import io
 from corpusloom.streaming import budgets, runs
 
 
@@ -183,3 +185,23 @@ def test_resamples_are_not_broadcast(spark, monkeypatch):
     joined = [p for p in seen if "MapInPandas" in p]
     assert joined and not any("BroadcastHashJoin" in p and "MapInPandas" in p[p.index("BroadcastExchange") :] for p in joined if "BroadcastExchange" in p)
     assert all("SortMergeJoin" in p for p in joined)
+
+
+def test_reaper_tick_does_not_sort_the_log(spark, monkeypatch):
+    """The log meets its runs without being sorted, also when these are too many to be broadcast."""
+
+    class Seen(Exception):
+        pass
+
+    def caught(df, path):
+        raise Seen(plan_of(df))
+
+    monkeypatch.setattr(io, "append_events", caught)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog_runs.reaper_tick(spark, "/root/testdata/sf0.001")
+    except Seen as seen:
+        plan = str(seen)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
