@@ -205,3 +205,41 @@ def test_reaper_tick_does_not_sort_the_log(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+
+
+def test_resamples_share_their_distances(spark, monkeypatch):
+    """The blocks that are compared hold each vector once, however many resamples there are, and the
+    floor is that of each resample's own matrix."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 40, (90, 3)).astype(float)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "pos long, v array<double>")
+    want = evaluation.human_floor(table, 30).first()
+    made, packed = [], evaluation.packed
+    monkeypatch.setattr(evaluation, "packed", lambda *a: made.append(packed(*a)) or made[-1])
+    monkeypatch.setattr(evaluation, "WHOLE", 10)
+    monkeypatch.setattr(evaluation, "BLOCK", 40)
+    got = evaluation.human_floor(table, 30).first()
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want))
+    assert [sum(len(r["n"]) // 8 for r in m.collect()) for m in made] == [90]
+
+
+def test_kernels_between_bandwidths():
+    middles = list(np.exp(np.random.default_rng(2).normal(3, 0.02, 50)))
+    nodes, share = evaluation.between(middles)
+    assert len(nodes) < 12
+    d = np.r_[0, np.exp(np.linspace(-5, 12, 3000))]
+    shared = share @ np.stack([evaluation.kernel(d.copy(), evaluation.bandwidths(m)) for m in nodes])
+    own = np.stack([evaluation.kernel(d.copy(), evaluation.bandwidths(m)) for m in middles])
+    assert np.abs(shared - own).max() < 1e-13
+    # far apart, or few: each for itself
+    assert evaluation.between([1.0, 9.0])[0] == [1.0, 9.0] and len(evaluation.between([1.0, 3.0, 9.0])[0]) == 3
+
+
+def test_medians_outside_of_where_they_should_be(spark, monkeypatch):
+    """Where a sample says that medians should be is only where they are looked for first."""
+    v = np.random.default_rng(5).normal(0, 1, (60, 2))
+    table = spark.createDataFrame([(0, i % 2, i, 1.0, x.tolist()) for i, x in enumerate(v)], "set int, side int, pos long, n double, v array<double>")
+    d = ((v[:, None] - v[None]) ** 2).sum(-1)
+    for low in (1e-9, 1e9):
+        monkeypatch.setattr(evaluation, "shown", lambda *_, low=low: {0: (*(int(x) for x in np.array([low, low * 2]).view(np.int64)), 44)})
+        assert math.isclose(evaluation.medians(table)[0], np.median(d[d > 0]), rel_tol=1e-12)
