@@ -243,3 +243,13 @@ def test_medians_outside_of_where_they_should_be(spark, monkeypatch):
     for low in (1e-9, 1e9):
         monkeypatch.setattr(evaluation, "shown", lambda *_, low=low: {0: (*(int(x) for x in np.array([low, low * 2]).view(np.int64)), 44)})
         assert math.isclose(evaluation.medians(table)[0], np.median(d[d > 0]), rel_tol=1e-12)
+
+
+def test_a_probe_deals_out_its_texts(spark, monkeypatch):
+    """A few texts are as many tasks' work as there are cores, not one task's."""
+    sizes = []
+    monkeypatch.setattr(evaluation, "cut", lambda df: (kept := cut(df), sizes.append((kept.columns, kept.rdd.getNumPartitions())))[0])
+    table = spark.createDataFrame([(i, i % 2, ("ab cd " if i % 2 else "xy zu ") * 3) for i in range(12)], "pos long, label int, text string").coalesce(1)
+    evaluation.probe(table, 2, 20).collect()
+    work = [n for columns, n in sizes if "text" in columns or "terms" in columns]
+    assert len(work) == 2 and min(work) >= spark.sparkContext.defaultParallelism
